@@ -64,17 +64,27 @@ def discrete_quantiles(df: DataFrame, value: Column, probs: Mapping[str, float])
     targets = (
         running.withColumn("want", F.explode(wanted))
         .filter((F.col("before") < F.col("want.rank")) & (F.col("want.rank") <= F.col("upto")))
-        .select("band", "before", "want.name", "want.rank")
+        .select(F.col("band").alias("target_band"), "before", "want.name", "want.rank")
     )
 
     # 4. Inside those bands only, walk the values up to the rank. `targets` has
-    #    len(probs) rows, so broadcasting it is safe at any scale.
-    walk = Window.partitionBy("name").orderBy("v")
-    reached = (
-        hist.join(F.broadcast(targets), "band")
-        .withColumn("reached", F.col("before") + F.sum("n").over(walk))
-        .filter(F.col("reached") >= F.col("rank"))
+    #    len(probs) rows, so broadcasting it is safe at any scale. The join is
+    #    null-safe only to keep Spark from adding a null check below this branch's
+    #    aggregate: with equal subplans the histogram's shuffle is computed once and
+    #    reused.
+    #    The values walked are those of len(probs) bands, about v / 256 each.
+    walk = Window.orderBy("v")
+    upto = {
+        name: F.sum(F.when(F.col("name") == name, F.col("n"))).over(walk) for name in probs
+    }
+    walked = hist.join(
+        F.broadcast(targets), F.col("band").eqNullSafe(F.col("target_band"))
+    ).select(
+        "v", "name", "rank", *[(F.col("before") + total).alias(n) for n, total in upto.items()]
     )
-    return reached.agg(*[
-        F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in probs
+    return walked.agg(*[
+        F.min(
+            F.when((F.col("name") == name) & (F.col(name) >= F.col("rank")), F.col("v"))
+        ).alias(name)
+        for name in probs
     ])

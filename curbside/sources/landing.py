@@ -6,6 +6,7 @@ import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -61,8 +62,9 @@ def scan_landing(
     """
     paths = {month: landed_path(landing, source, month, spec) for month in spec.landing_months}
     # Footer reads only, but each is a round trip to the store: overlap them.
+    read_schema = inheritable_thread_target(lambda path: _landed_schema(spark, path))
     with ThreadPoolExecutor(_FOOTER_READERS) as pool:
-        schemas = dict(zip(paths, pool.map(lambda p: _landed_schema(spark, p), paths.values())))
+        schemas = dict(zip(paths, pool.map(read_schema, paths.values())))
 
     missing = tuple(month for month, schema in schemas.items() if schema is None)
     for month in missing:
