@@ -5,14 +5,14 @@ Spark's own quantile aggregates are global: each input task ships its sketch
 reducer, which merges all of them. With hundreds of thousands of input tasks that
 one reducer is the whole job. Here the work is a histogram keyed by value, which
 combines map-side and spreads over the shuffle, plus a lookup whose single-task
-part has a size that does not depend on the data.
+part has a size that does not depend on the number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bands per factor e. ln(2^63) is below 43.7, so there are at most
@@ -28,28 +28,31 @@ def discrete_quantiles(df: DataFrame, value: Column, probs: Mapping[str, float])
     `value` must be integral; null values are ignored. Without any value the row
     holds nulls.
     """
-    # 1. Histogram: at most one row per task and distinct value is shuffled, and
-    #    a value shared by a third of the rows is one row per task.
+    # 1. Histogram: at most one row per task and distinct value is shuffled, so a
+    #    value shared by a third of the rows is still one row per task.
     hist = (
         df.select(value.alias("v"))
-        .filter(F.col("v").isNotNull())
+        .filter("v IS NOT NULL")
         .groupBy("v")
         .agg(F.count("*").alias("n"))
+        .selectExpr(
+            "v",
+            "n",
+            f"CAST(signum(v) * floor(log1p(abs(CAST(v AS DOUBLE))) * {_BANDS_PER_E}) AS INT)"
+            " AS band",
+        )
     )
-    magnitude = F.floor(F.log1p(F.abs(F.col("v").cast("double"))) * _BANDS_PER_E)
-    hist = hist.withColumn("band", (F.signum("v") * magnitude).cast("int"))
 
     # 2. Running totals over the bands (their number is bounded, see above).
-    ascending = Window.orderBy("band")
-    everything = ascending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = (
         hist.groupBy("band")
         .agg(F.sum("n").alias("band_n"))
-        .select(
+        .selectExpr(
             "band",
-            (F.sum("band_n").over(ascending) - F.col("band_n")).alias("before"),
-            F.sum("band_n").over(ascending).alias("upto"),
-            F.sum("band_n").over(everything).alias("total"),
+            "sum(band_n) OVER (ORDER BY band) - band_n AS before",
+            "sum(band_n) OVER (ORDER BY band) AS upto",
+            "sum(band_n) OVER (ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING"
+            " AND UNBOUNDED FOLLOWING) AS total",
         )
     )
 
@@ -63,28 +66,27 @@ def discrete_quantiles(df: DataFrame, value: Column, probs: Mapping[str, float])
     ])
     targets = (
         running.withColumn("want", F.explode(wanted))
-        .filter((F.col("before") < F.col("want.rank")) & (F.col("want.rank") <= F.col("upto")))
-        .select(F.col("band").alias("target_band"), "before", "want.name", "want.rank")
+        .filter("before < want.rank AND want.rank <= upto")
+        .selectExpr("band AS target_band", "before", "want.name", "want.rank")
     )
 
     # 4. Inside those bands only, walk the values up to the rank. `targets` has
-    #    len(probs) rows, so broadcasting it is safe at any scale. The join is
-    #    null-safe only to keep Spark from adding a null check below this branch's
-    #    aggregate: with equal subplans the histogram's shuffle is computed once and
-    #    reused.
-    #    The values walked are those of len(probs) bands, about v / 256 each.
-    walk = Window.orderBy("v")
-    upto = {
-        name: F.sum(F.when(F.col("name") == name, F.col("n"))).over(walk) for name in probs
-    }
+    #    len(probs) rows, so broadcasting it is safe at any scale; the values walked
+    #    are those of len(probs) bands. The join is null-safe only to keep Spark from
+    #    adding a null check below this branch's aggregate: with equal subplans the
+    #    histogram's shuffle is computed once and reused.
     walked = hist.join(
         F.broadcast(targets), F.col("band").eqNullSafe(F.col("target_band"))
-    ).select(
-        "v", "name", "rank", *[(F.col("before") + total).alias(n) for n, total in upto.items()]
+    ).selectExpr(
+        "v",
+        "name",
+        "rank",
+        *[
+            f"before + sum(CASE WHEN name = '{name}' THEN n END) OVER (ORDER BY v) AS `{name}`"
+            for name in probs
+        ],
     )
     return walked.agg(*[
-        F.min(
-            F.when((F.col("name") == name) & (F.col(name) >= F.col("rank")), F.col("v"))
-        ).alias(name)
+        F.expr(f"min(CASE WHEN name = '{name}' AND `{name}` >= rank THEN v END)").alias(name)
         for name in probs
     ])

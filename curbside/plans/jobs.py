@@ -167,19 +167,24 @@ def silver(spark: SparkSession, lake: Lake, **how) -> SilverRun:
 
 
 def read_mart(spark: SparkSession, lake: Lake, name: str) -> DataFrame:
-    """A stored mart in its order; typed and empty if it was never written."""
+    """A stored mart in its order; typed and empty if it was never written.
+
+    A mart has at most 24 rows per source, so it is read as one partition, and
+    ordering or regrouping it needs no shuffle.
+    """
     table = read_table(spark, lake.gold(name), lake.fmt, mart_schema(name, lake.spec))
-    return table.orderBy(*mart_order(name, lake.spec))
+    return table.coalesce(1).orderBy(*mart_order(name, lake.spec))
 
 
 def gold(spark: SparkSession, lake: Lake, show: bool = False) -> dict[str, DataFrame]:
     """Cleaned table -> the four marts, scanning the trips once.
 
     The hourly rollup is stored first; the marts are derived from its few hundred
-    rows. Previews read the stored marts.
+    rows (at most 12 * 24 per source), read as one partition. Previews read the
+    stored marts.
     """
     trips = read_silver(spark, lake)
-    rollup = materialise(hourly_rollup(trips, lake.spec), "hourly_rollup")
+    rollup = materialise(hourly_rollup(trips, lake.spec), "hourly_rollup").coalesce(1)
     written = {}
     for name, mart in MARTS.items():
         result = mart(rollup, lake.spec, rollup_basis())

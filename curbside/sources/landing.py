@@ -62,7 +62,7 @@ def scan_landing(
     """
     paths = {month: landed_path(landing, source, month, spec) for month in spec.landing_months}
     # Footer reads only, but each is a round trip to the store: overlap them.
-    read_schema = inheritable_thread_target(lambda path: _landed_schema(spark, path))
+    read_schema = inheritable_thread_target(spark)(lambda path: _landed_schema(spark, path))
     with ThreadPoolExecutor(_FOOTER_READERS) as pool:
         schemas = dict(zip(paths, pool.map(read_schema, paths.values())))
 

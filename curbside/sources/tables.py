@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from curbside.spec import DEFAULT_SPEC, TripSpec
+
 # Error conditions that mean "there is no table at this path".
 _NO_TABLE = {"PATH_NOT_FOUND", "DELTA_PATH_DOES_NOT_EXIST"}
 
@@ -29,6 +33,16 @@ def read_table(
         raise
 
 
+def from_rows(
+    spark: SparkSession,
+    rows: Iterable[tuple],
+    spec: TripSpec = DEFAULT_SPEC,
+    timestamp: T.DataType | None = None,
+) -> DataFrame:
+    """In-memory trips with the contract's columns and types."""
+    return spark.createDataFrame(rows, spec.contract_schema(timestamp))
+
+
 def preview(df: DataFrame, rows: int = 20) -> DataFrame:
     """The first rows, for display. The stored table is never cut."""
     return df.limit(rows)

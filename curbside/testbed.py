@@ -60,17 +60,14 @@ def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trip per event."""
     key, value = F.col("event_id"), F.col("value")
-    steps = (30 * (key % 6)).cast("int")
-    seconds = F.when(key % 17 == 0, F.lit(-60.0)).otherwise(F.round(value * 60))
-    zero = F.lit(0)
-    pickup = F.col("ts") + F.make_dt_interval(steps)
-    ride = F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    pickup = F.timestamp_add("DAY", (30 * (key % 6)).cast("int"), F.col("ts"))
+    seconds = F.when(key % 17 == 0, -60).otherwise(F.round(value * 60).cast("int"))
     return read_parquet(spark, sf_dir, "events").select(
         F.col("user_id").alias("vendor_id"),
         F.when(key % 11 != 0, (key % 7).cast("double")).alias("passenger_count"),
         F.when(key % 13 != 0, value * 25 - 20).alias("total_amount"),
         pickup.alias("pickup_ts"),
-        (pickup + ride).alias("dropoff_ts"),
+        F.timestamp_add("SECOND", seconds, pickup).alias("dropoff_ts"),
         F.when(F.col("event_type").isin("click", "view", "signup"), "yellow")
         .otherwise("green")
         .alias("taxi_type"),

@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from curbside.spec import DEFAULT_SPEC
+from curbside.sources import from_rows as frame  # noqa: F401
 
 START = datetime(2023, 3, 10, 8, 0)
 
@@ -22,10 +22,6 @@ def trip(
     return (vendor, passengers, amount, pickup, dropoff, source)
 
 
-def frame(spark, rows, spec=DEFAULT_SPEC, timestamp=None):
-    return spark.createDataFrame(rows, spec.contract_schema(timestamp))
-
-
 def plan(df):
     """The executed plan as text."""
     return df._jdf.queryExecution().explainString(
