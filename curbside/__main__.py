@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import argparse
 import logging
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from curbside.plans import jobs
+from curbside.spec import DEFAULT_SPEC
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -19,13 +21,22 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--root", required=True, help="folder that holds the layers")
     parser.add_argument("--landing", default="", help="folder of the landed monthly files")
     parser.add_argument("--format", default="parquet", help="table format of all layers")
+    parser.add_argument("--months", nargs="+", help="landed months to read, as yyyy-mm")
+    parser.add_argument("--period-start", help="first pickup instant that is kept")
+    parser.add_argument("--period-end", help="last pickup instant that is kept")
     args = parser.parse_args(argv)
     if args.job in ("bronze", "all") and not args.landing:
         parser.error(f"{args.job} needs --landing")
 
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     spark = SparkSession.builder.appName(f"curbside-{args.job}").getOrCreate()
-    lake = jobs.Lake(root=args.root, landing=args.landing, fmt=args.format)
+    changes = {
+        "landing_months": args.months and tuple(args.months),
+        "period_start": args.period_start,
+        "period_end": args.period_end,
+    }
+    spec = replace(DEFAULT_SPEC, **{name: value for name, value in changes.items() if value})
+    lake = jobs.Lake(root=args.root, landing=args.landing, fmt=args.format, spec=spec)
     if args.job == "bronze":
         jobs.bronze_all(spark, lake)
         jobs.bronze_summary(spark, lake).show(truncate=False)

@@ -23,7 +23,7 @@ def read_table(
     of that schema; without one it is an error.
     """
     reader = spark.read.format(fmt)
-    if schema is not None and fmt == "parquet":
+    if schema is not None and fmt != "delta":  # its log has the schema
         reader = reader.schema(schema)
     try:
         return reader.load(path)

@@ -126,6 +126,22 @@ def test_command_line(spark, tmp_path, capsys, caplog):
     assert _rows(jobs.read_mart(spark, lake, "avg_total_by_month")) == [(1, 15.5, 3), (5, 15.5, 3)]
 
 
+def test_command_line_sets_months_and_period(spark, tmp_path):
+    landing = tmp_path / "landing"
+    for source in ("yellow", "green"):
+        for day in (1, 2):
+            pickup = trip()[3].replace(year=2024, month=7, day=day)
+            rows = [trip(pickup=pickup, minutes=m, amount=float(day)) for m in (10, 20)]
+            path = f"{landing}/{source}_tripdata_2024-07.parquet"
+            frame(spark, rows).drop("taxi_type").write.mode("append").parquet(path)
+    main([
+        "all", "--root", str(tmp_path), "--landing", str(landing), "--months", "2024-07",
+        "--period-start", "2024-07-01", "--period-end", "2024-07-02",
+    ])
+    lake = jobs.Lake(root=str(tmp_path), landing="")
+    assert _rows(jobs.read_mart(spark, lake, "avg_total_by_month")) == [(7, 1.0, 2)]
+
+
 def test_command_line_needs_a_landing_folder():
     with pytest.raises(SystemExit):
         main(["bronze", "--root", "/nowhere"])
