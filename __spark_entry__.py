@@ -131,7 +131,9 @@ def silver_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def silver_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "all_taxi")
-    overwrite_table(_silver(spark, sf_dir), path, partition_by=[EVENTS.source])
+    overwrite_table(
+        _silver(spark, sf_dir), path, partition_by=[EVENTS.source], open_partitions=2
+    )
     stored = read_table(spark, path).select(*EVENTS.contract)
     return stored.filter(F.col(EVENTS.source) == "yellow")
 

@@ -153,6 +153,7 @@ def silver(spark: SparkSession, lake: Lake, **how) -> SilverRun:
         lake.fmt,
         partition_by=[spec.source],
         inputs=[lake.bronze(source) for source in spec.sources],
+        open_partitions=len(spec.sources),
     )
     stored = read_silver(spark, lake)
     run = SilverRun(

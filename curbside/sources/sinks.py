@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OPEN_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def _normal(path: str) -> str:
@@ -21,23 +24,37 @@ def reject_overlap(output: str, inputs: Iterable[str]) -> None:
             raise ValueError(f"cannot overwrite {output} while reading {path.rstrip('/')}")
 
 
+@contextmanager
+def _open_writers(spark: SparkSession, count: int) -> Iterator[None]:
+    before = spark.conf.get(_OPEN_WRITERS, "0")
+    spark.conf.set(_OPEN_WRITERS, max(count, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPEN_WRITERS, before)
+
+
 def overwrite_table(
     df: DataFrame,
     path: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
     inputs: Iterable[str] = (),
+    open_partitions: int = 0,
 ) -> None:
     """Replace the table at `path` with `df`.
 
     Rows are written by the tasks that produced them; nothing is shuffled to
-    lay out partitions. `inputs` are the paths `df` reads, checked before the old
-    table is touched. The overwrite is always of the whole table, also in a session
-    set to replace only the partitions it touches. It is as atomic as the table
-    format makes it: plain Parquet is not.
+    lay out partitions. A task keeps up to `open_partitions` partition files open at
+    once and only sorts its rows by partition if it meets more (with 0 it always
+    sorts). `inputs` are the paths `df` reads, checked before the old table is
+    touched. The overwrite is always of the whole table, also in a session set to
+    replace only the partitions it touches. It is as atomic as the table format makes
+    it: plain Parquet is not.
     """
     reject_overlap(path, inputs)
     writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    with _open_writers(df.sparkSession, open_partitions):
+        writer.save(path)

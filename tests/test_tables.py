@@ -42,6 +42,18 @@ def test_overwriting_replaces_all_partitions(spark, tmp_path, conf):
     assert [r.taxi_type for r in stored.collect()] == ["yellow", "yellow"]
 
 
+@pytest.mark.parametrize("open_partitions", [0, 2, 9])
+def test_any_number_of_open_partitions(spark, tmp_path, open_partitions):
+    """Five partitions per task, fewer or more files open than that."""
+    option = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(option)
+    df = spark.range(1000).selectExpr("id as x", "concat('p', id % 5) as part").coalesce(2)
+    overwrite_table(df, f"{tmp_path}/t", partition_by=["part"], open_partitions=open_partitions)
+    stored = read_table(spark, f"{tmp_path}/t")
+    assert stored.count() == 1000 and stored.exceptAll(df).isEmpty()
+    assert spark.conf.get(option) == before
+
+
 @pytest.mark.parametrize(
     ("output", "source"),
     [
