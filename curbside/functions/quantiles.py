@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bands per factor e. ln(2^63) is below 43.7, so there are at most
-# 2 * 43.7 * 256 < 22,400 bands whatever the data, and a band around v spans
-# about v / 256 different values.
+# 2 * 43.7 * 256 < 22,400 bands whatever the data, and a band around v spans at most
+# v / 256 + 1 different values: 340 around a day of seconds, 124,000 around a year.
 _BANDS_PER_E = 256
 
 

@@ -49,7 +49,9 @@ def test_tag(spark):
 
 def test_drift_union_widens_and_fills(spark):
     a = spark.createDataFrame([(1, 1.5, 0.5)], "id int, n double, airport_fee double")
-    b = spark.createDataFrame([(2**40, 2, 1.25, "x")], "id bigint, n bigint, Airport_fee double, more string")
+    b = spark.createDataFrame(
+        [(2**40, 2, 1.25, "x")], "id bigint, n bigint, Airport_fee double, more string"
+    )
     both = drift_union([a, b])
     assert {f.name: f.dataType for f in both.schema} == {
         "id": T.LongType(),

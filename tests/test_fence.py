@@ -5,6 +5,8 @@ import random
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from rows import frame, trip
@@ -53,6 +55,14 @@ def test_quantiles_equal_brute_force(spark, name):
     assert got == {key: observed(values, p) for key, p in PROBS.items()}
 
 
+@settings(max_examples=15, deadline=None, derandomize=True)
+@given(st.lists(st.integers(-(2**63) + 1, 2**63 - 1) | st.integers(-50, 50), min_size=1))
+def test_quantiles_of_any_numbers(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x bigint")
+    got = discrete_quantiles(df, F.col("x"), PROBS).first().asDict()
+    assert got == {key: observed(values, p) for key, p in PROBS.items()}
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x bigint")
     assert tuple(discrete_quantiles(df, F.col("x"), {"a": 0.5}).first()) == (None,)

@@ -44,7 +44,8 @@ def test_cleaned_layer(spark, lake):
     assert sum(r[1] for r in _rows(run.by_month)) == 5328
     stored = jobs.read_silver(spark, lake)
     assert stored.columns == EVENTS.contract
-    assert {f.split("/")[-2] for f in stored.inputFiles()} == {"taxi_type=green", "taxi_type=yellow"}
+    folders = {path.split("/")[-2] for path in stored.inputFiles()}
+    assert folders == {"taxi_type=green", "taxi_type=yellow"}
 
 
 def test_marts(spark, lake):

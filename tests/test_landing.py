@@ -36,7 +36,9 @@ def test_drift_across_months(spark, tmp_path):
         "more": T.StringType(),
     }
     counts = scan.trips.groupBy("n").agg(
-        F.count("*").alias("rows"), F.count("airport_fee").alias("fees"), F.count("more").alias("more")
+        F.count("*").alias("rows"),
+        F.count("airport_fee").alias("fees"),
+        F.count("more").alias("more"),
     )
     assert sorted(map(tuple, counts.collect())) == [
         (1.5, 3, 3, 0), (2.0, 3, 3, 0), (3.5, 5, 5, 0), (4.0, 3, 0, 3)

@@ -39,3 +39,11 @@ def test_entry(spark):
         "taxi_type", "month", "total_corridas", "avg_total_amount", "avg_passengers"
     ]
     assert df.count() == 10
+
+
+@pytest.mark.parametrize("name", ["iqr_fence_exact", "gold_hourly_rollup", "bronze_drift_union"])
+def test_session_zone_does_not_matter(spark, con, sf_check, conf, name):
+    """The tables' timestamps are un-zoned."""
+    conf("spark.sql.session.timeZone", "America/New_York")
+    df = QUERIES[name](spark, sf_check)
+    assert spark_result(df) == duck_result(con, ORACLES[name])

@@ -1,6 +1,7 @@
 """What the optimizer makes of the queries: these hold at any scale or not at all."""
 
 import re
+from dataclasses import replace
 
 import pytest
 from rows import frame, plan, trip
@@ -76,6 +77,15 @@ def test_one_month_prunes_row_groups(spark, lake):
     assert "total_amount" not in re.search(r"ReadSchema: (.*)", scan)[1]
 
 
+def test_one_month_of_several_years_prunes_row_groups(spark, lake):
+    spec = replace(DEFAULT_SPEC, period_start="2021-07-01")
+    (scan,) = _scans(plan(marts.avg_passengers_by_hour(jobs.read_silver(spark, lake), spec)))
+    pushed = re.search(r"PushedFilters: .*", scan)[0]
+    assert pushed.count("Or(") == 2
+    for year in (2021, 2022, 2023):
+        assert f"GreaterThanOrEqual(tpep_pickup_datetime,{year}-05-01" in pushed
+
+
 def test_rollup_is_one_scan_with_partial_sums(spark, lake):
     text = plan(marts.hourly_rollup(jobs.read_silver(spark, lake)))
     assert len(_scans(text)) == 1
@@ -87,6 +97,13 @@ def test_counting_reads_no_columns(spark, lake):
     assert all("ReadSchema: struct<>" in scan for scan in _scans(text))
 
 
+def test_stored_marts_are_ordered_without_a_shuffle(spark, lake):
+    jobs.gold(spark, lake)
+    for name in marts.MARTS:
+        assert "Exchange" not in plan(jobs.read_mart(spark, lake, name))
+    assert "Exchange" not in plan(jobs.report(spark, lake)["kpis"])
+
+
 @pytest.mark.parametrize("name", entry.queries())
 def test_no_python_and_no_cross_join_anywhere(spark, sf_small, name):
     text = plan(entry.queries()[name](spark, sf_small))

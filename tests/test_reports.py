@@ -43,7 +43,8 @@ def test_display_tables(spark):
     table = reports.month_table(months)
     assert table.columns == ["Mês", "Média (USD)", "Total corridas"]
     assert _rows(table) == [("Jan", 1.5, 3), ("Fev", 2.5, 4)]
-    hours = spark.createDataFrame([(23, 2.5, 4), (0, 1.5, 3)], mart_schema("avg_passengers_by_hour"))
+    schema = mart_schema("avg_passengers_by_hour")
+    hours = spark.createDataFrame([(23, 2.5, 4), (0, 1.5, 3)], schema)
     table = reports.hour_table(hours)
     assert table.columns == ["Hora", "Média passageiros", "Total corridas"]
     assert _rows(table) == [(0, 1.5, 3), (23, 2.5, 4)]
