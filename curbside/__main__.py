@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.error(f"{args.job} needs --landing")
 
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = SparkSession.builder.appName(f"curbside-{args.job}").getOrCreate()
     changes = {
         "landing_months": args.months and tuple(args.months),

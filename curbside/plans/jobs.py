@@ -40,6 +40,11 @@ class Lake:
     def silver(self) -> str:
         return f"{self.root.rstrip('/')}/silver/all_taxi"
 
+    @property
+    def scratch(self) -> str:
+        """Where the rollup goes in a session without a checkpoint folder."""
+        return f"{self.root.rstrip('/')}/scratch"
+
     def gold(self, mart: str) -> str:
         return f"{self.root.rstrip('/')}/gold/{mart}"
 
@@ -185,7 +190,8 @@ def gold(spark: SparkSession, lake: Lake, show: bool = False) -> dict[str, DataF
     stored marts.
     """
     trips = read_silver(spark, lake)
-    rollup = materialise(hourly_rollup(trips, lake.spec), "hourly_rollup").coalesce(1)
+    rollup = materialise(hourly_rollup(trips, lake.spec), "hourly_rollup", lake.scratch)
+    rollup = rollup.coalesce(1)
     written = {}
     for name, mart in MARTS.items():
         result = mart(rollup, lake.spec, rollup_basis())

@@ -16,13 +16,14 @@ def _local_root() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="curbside-")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, fallback: str | None = None) -> str:
     """A fresh folder below `spark.checkpoint.dir`.
 
-    Only a local session may do without that setting; there the folder lives as
-    long as the Python process.
+    Without that setting it is below `fallback`, which must be shared as well. Only a
+    local session may do without both; there the folder lives as long as the Python
+    process.
     """
-    root = spark.conf.get(_SHARED, None)
+    root = spark.conf.get(_SHARED, None) or fallback
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError(f"set {_SHARED} to a folder that all executors share")
@@ -30,9 +31,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/curbside-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, fallback: str | None = None) -> DataFrame:
     """`df` computed once, stored, and read back: later plans start from the file,
     and losing an executor does not bring the computation back."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, fallback)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

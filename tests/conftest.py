@@ -1,3 +1,4 @@
+import logging
 import os
 import sys
 
@@ -8,6 +9,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
+logging.getLogger("py4j").setLevel(logging.WARNING)
+
 TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
 

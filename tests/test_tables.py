@@ -102,6 +102,9 @@ def test_scratch_without_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_path(_Session(spark_master="yarn"), "x")
     assert scratch_path(_Session(spark_master="local[2]"), "x").endswith("/x")
+    for master in ("yarn", "local[2]"):
+        path = scratch_path(_Session(spark_master=master), "x", "s3a://lake/scratch")
+        assert path.startswith("s3a://lake/scratch/curbside-")
 
 
 def test_materialise_starts_from_the_stored_rows(spark):
