@@ -53,8 +53,18 @@ SHIPMENTS_SQL = """
 """
 
 
-def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# The columns read from each table. Stating them saves the footer job that would
+# infer them.
+TABLES = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+    "orders": "o_orderkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "lineitem": "l_orderkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+    "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +72,7 @@ def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, value = F.col("event_id"), F.col("value")
     pickup = F.timestamp_add("DAY", (30 * (key % 6)).cast("int"), F.col("ts"))
     seconds = F.when(key % 17 == 0, -60).otherwise(F.round(value * 60).cast("int"))
-    return read_parquet(spark, sf_dir, "events").select(
+    return read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("vendor_id"),
         F.when(key % 11 != 0, (key % 7).cast("double")).alias("passenger_count"),
         F.when(key % 13 != 0, value * 25 - 20).alias("total_amount"),
@@ -76,8 +86,8 @@ def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trips_from_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trip per line item: order date to ship date."""
-    lines = read_parquet(spark, sf_dir, "lineitem")
-    orders = read_parquet(spark, sf_dir, "orders")
+    lines = read_table(spark, sf_dir, "lineitem")
+    orders = read_table(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("l_suppkey").alias("vendor_id"),
         F.col("l_quantity").alias("passenger_count"),
