@@ -1,24 +1,32 @@
 """The jobs a user runs: raw layer, cleaned layer, marts, reports, or all in order."""
 
 from curbside.plans.jobs import (
+    BronzeError,
     BronzeRun,
     Lake,
     SilverRun,
     bronze_all,
     bronze_source,
+    bronze_summary,
     gold,
+    read_mart,
+    read_silver,
     report,
     run_all,
     silver,
 )
 
 __all__ = [
+    "BronzeError",
     "BronzeRun",
     "Lake",
     "SilverRun",
     "bronze_all",
     "bronze_source",
+    "bronze_summary",
     "gold",
+    "read_mart",
+    "read_silver",
     "report",
     "run_all",
     "silver",

@@ -3,6 +3,8 @@
 import logging
 from dataclasses import replace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -46,6 +48,19 @@ def test_drift_across_months(spark, tmp_path):
     assert [r[0] for r in scan.trips.select("taxi_type").distinct().collect()] == ["yellow"]
 
 
+def test_a_column_without_any_value(spark, tmp_path):
+    """Its file may give it no type at all; other months decide."""
+    fees = {"01": pa.nulls(2), "02": pa.array([1.5, None]), "03": pa.nulls(2)}
+    for month, fee in fees.items():
+        table = pa.table({"VendorID": [1, 2], "ehail_fee": fee})
+        pq.write_table(table, f"{tmp_path}/yellow_tripdata_2023-{month}.parquet")
+    trips = scan_landing(spark, str(tmp_path), "yellow").trips
+    assert dict(trips.dtypes)["ehail_fee"] == "double"
+    trips.write.parquet(f"{tmp_path}/stored")
+    counts = spark.read.parquet(f"{tmp_path}/stored").selectExpr("count(*)", "count(ehail_fee)")
+    assert tuple(counts.first()) == (6, 1)
+
+
 def test_months_with_equal_schemas_share_a_scan(spark, tmp_path):
     for month in ("01", "02", "03", "04", "05"):
         _land(spark, tmp_path, month, ["id VendorID"])

@@ -52,7 +52,7 @@ def test_the_month_of_every_year_of_the_period(spark):
     assert _rows(avg_passengers_by_hour(frame(spark, rows), spec)) == [(23, 2.0, 3)]
 
 
-@pytest.mark.parametrize("month", range(1, 13))
+@pytest.mark.parametrize("month", [1, 6, 12])
 def test_any_month_may_be_asked_for(spark, month):
     spec = replace(DEFAULT_SPEC, period_end="2023-12-31", passengers_month=month)
     rows = [trip(pickup=datetime(2023, m, 1, m)) for m in range(1, 13)]
