@@ -25,7 +25,8 @@ def scratch_path(spark: SparkSession, name: str, fallback: str | None = None) ->
     """
     root = spark.conf.get(_SHARED, None) or fallback
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set {_SHARED} to a folder that all executors share")
         root = _local_root().name
     return f"{root.rstrip('/')}/curbside-{uuid.uuid4().hex}/{name}"

@@ -85,7 +85,11 @@ def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trips_from_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trip per line item: order date to ship date."""
+    """One trip per line item: order date to ship date.
+
+    The join carries no hint: Spark broadcasts `orders` only if it measures it to be
+    small, and otherwise splits an order with very many lines while sort-merging.
+    """
     lines = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(

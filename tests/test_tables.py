@@ -99,8 +99,9 @@ def test_scratch_follows_the_session():
 
 
 def test_scratch_without_a_shared_folder():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_path(_Session(spark_master="yarn"), "x")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_path(_Session(spark_master=master), "x")
     assert scratch_path(_Session(spark_master="local[2]"), "x").endswith("/x")
     for master in ("yarn", "local[2]"):
         path = scratch_path(_Session(spark_master=master), "x", "s3a://lake/scratch")
