@@ -27,20 +27,24 @@ def duration_hours(spec: TripSpec) -> Column:
 def in_month(spec: TripSpec, month: int) -> Column:
     """Pickup falls in this month of the year, in a form the Parquet scan can use.
 
-    `month(ts) = m` alone never reaches the scan. Trips cleaned with `spec` lie
-    inside its period, so the same rows are also described by one plain timestamp
-    range per year of the period, and ranges do prune row groups.
+    `month(ts) = m` alone never reaches the scan. Inside the period of `spec` the same
+    rows are also described by one plain timestamp range per year, and ranges do reach
+    it. Rows outside the period are left to `month(ts) = m`, so the predicate means the
+    same on any input; a table cleaned with `spec` has no such rows.
+
+    Spark's Parquet reader skips row groups by such a range for zoned timestamps stored
+    as 64-bit integers. It does not do so for un-zoned ones.
     """
     pickup = F.col(spec.pickup)
     first, last = int(spec.period_start[:4]), int(spec.period_end[:4])
-    ranges = []
+    candidates = [pickup < F.lit(spec.period_start), pickup > F.lit(spec.period_end)]
     for year in range(first, last + 1):
         after = (year + 1, 1) if month == 12 else (year, month + 1)
-        ranges.append(
+        candidates.append(
             (pickup >= F.lit(f"{year:04d}-{month:02d}-01"))
             & (pickup < F.lit(f"{after[0]:04d}-{after[1]:02d}-01"))
         )
-    return (F.month(pickup) == month) & reduce(or_, ranges)
+    return (F.month(pickup) == month) & reduce(or_, candidates)
 
 
 def month_label(month: Column) -> Column:

@@ -41,7 +41,7 @@ class Basis:
 
 
 def trip_basis(spec: TripSpec = DEFAULT_SPEC) -> Basis:
-    """Marts straight from trips cleaned with `spec`."""
+    """Marts straight from trips."""
     return Basis(
         month=F.month(spec.pickup).alias(MONTH),
         hour=F.hour(spec.pickup).alias(HOUR),

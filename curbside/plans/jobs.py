@@ -145,7 +145,7 @@ def silver(spark: SparkSession, lake: Lake, **how) -> SilverRun:
 
     Two passes over the data: the quartiles (two timestamp columns), then filter and
     write. Both counts are footer-only. Rows stay in the task that read them, so
-    files keep the months they arrived in and later month filters skip row groups.
+    files keep the months they arrived in, which is what a month filter can skip by.
     `how` goes to the fence (`method`, `accuracy`).
     """
     spec = lake.spec

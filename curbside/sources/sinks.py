@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+_TIMESTAMPS = "spark.sql.parquet.outputTimestampType"
 
 
 def _normal(path: str) -> str:
@@ -25,13 +26,16 @@ def reject_overlap(output: str, inputs: Iterable[str]) -> None:
 
 
 @contextmanager
-def _open_writers(spark: SparkSession, count: int) -> Iterator[None]:
-    before = spark.conf.get(_OPEN_WRITERS, "0")
-    spark.conf.set(_OPEN_WRITERS, max(count, int(before)))
+def _settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the duration of one write."""
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(_OPEN_WRITERS, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def overwrite_table(
@@ -47,7 +51,9 @@ def overwrite_table(
     Rows are written by the tasks that produced them; nothing is shuffled to
     lay out partitions. A task keeps up to `open_partitions` partition files open at
     once and only sorts its rows by partition if it meets more (with 0 it always
-    sorts). `inputs` are the paths `df` reads, checked before the old table is
+    sorts). Zoned timestamps are stored as 64-bit microseconds, which have the
+    statistics that range filters prune by; Spark's default INT96 has none. `inputs` are
+    the paths `df` reads, checked before the old table is
     touched. The overwrite is always of the whole table, also in a session set to
     replace only the partitions it touches. It is as atomic as the table format makes
     it: plain Parquet is not.
@@ -56,5 +62,7 @@ def overwrite_table(
     writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with _open_writers(df.sparkSession, open_partitions):
+    spark = df.sparkSession
+    open_files = max(open_partitions, int(spark.conf.get(_OPEN_FILES)))
+    with _settings(spark, {_OPEN_FILES: str(open_files), _TIMESTAMPS: "TIMESTAMP_MICROS"}):
         writer.save(path)

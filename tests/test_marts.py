@@ -52,6 +52,15 @@ def test_the_month_of_every_year_of_the_period(spark):
     assert _rows(avg_passengers_by_hour(frame(spark, rows), spec)) == [(23, 2.0, 3)]
 
 
+def test_the_month_counts_in_any_year_of_any_input(spark):
+    """The period helps the scan; it is not a filter of its own."""
+    years = (1999, 2022, 2023, 2024)
+    rows = [trip(pickup=datetime(year, 5, day)) for year in years for day in (1, 31)]
+    rows += [trip(pickup=datetime(2023, 5, 31, 12))]
+    rows += [trip(pickup=datetime(year, month, 1)) for year in years for month in (4, 6)]
+    assert _rows(avg_passengers_by_hour(frame(spark, rows))) == [(0, 2.0, 8), (12, 2.0, 1)]
+
+
 @pytest.mark.parametrize("month", [1, 6, 12])
 def test_any_month_may_be_asked_for(spark, month):
     spec = replace(DEFAULT_SPEC, period_end="2023-12-31", passengers_month=month)

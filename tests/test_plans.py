@@ -2,14 +2,17 @@
 
 import re
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
+from pyspark.sql import types as T
 from rows import frame, plan, trip
 
 import __spark_entry__ as entry
 from curbside.functions import discrete_quantiles, duration_seconds
 from curbside.operators import marts, quality
 from curbside.plans import jobs
+from curbside.sources import overwrite_table
 from curbside.spec import DEFAULT_SPEC
 
 
@@ -69,7 +72,7 @@ def test_one_source_reads_one_partition(spark, lake):
     assert "passenger_count" not in re.search(r"ReadSchema: (.*)", scan)[1]
 
 
-def test_one_month_prunes_row_groups(spark, lake):
+def test_one_month_reaches_the_scan(spark, lake):
     (scan,) = _scans(plan(marts.avg_passengers_by_hour(jobs.read_silver(spark, lake))))
     pushed = re.search(r"PushedFilters: .*", scan)[0]
     assert "GreaterThanOrEqual(tpep_pickup_datetime,2023-05-01" in pushed
@@ -77,15 +80,45 @@ def test_one_month_prunes_row_groups(spark, lake):
     assert "total_amount" not in re.search(r"ReadSchema: (.*)", scan)[1]
 
 
-def test_one_month_of_several_years_prunes_row_groups(spark, lake):
+def test_one_month_of_several_years_reaches_the_scan(spark, lake):
     spec = replace(DEFAULT_SPEC, period_start="2021-07-01")
     (scan,) = _scans(plan(marts.avg_passengers_by_hour(jobs.read_silver(spark, lake), spec)))
     pushed = re.search(r"PushedFilters: .*", scan)[0]
-    assert pushed.count("Or(") == 2
+    assert pushed.count("Or(") == 4
     for year in (2021, 2022, 2023):
         assert f"GreaterThanOrEqual(tpep_pickup_datetime,{year}-05-01" in pushed
 
 
+def test_one_month_skips_the_others(spark, tmp_path):
+    """Zoned timestamps, one file per month: only May is decoded."""
+    lake = jobs.Lake(root=str(tmp_path), landing="")
+    months = [trip(pickup=datetime(2023, m, d), minutes=10 + d) for m in range(1, 6) for d in (1, 2)]
+    for source in DEFAULT_SPEC.sources:
+        df = frame(spark, [(*row[:5], source) for row in months], timestamp=T.TimestampType())
+        by_month = df.repartitionByRange(5, "tpep_pickup_datetime")
+        overwrite_table(by_month, lake.bronze(source))
+    jobs.silver(spark, lake)
+    df = marts.avg_passengers_by_hour(jobs.read_silver(spark, lake))
+    assert [tuple(r) for r in df.collect()] == [(0, 2.0, 4)]
+    assert _scanned_rows(df) == 4
+
+
+def _scanned_rows(df):
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "FileSourceScanExec":
+            rows += node.metrics().apply("numOutputRows").value()
+        elif kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
 def test_rollup_is_one_scan_with_partial_sums(spark, lake):
     text = plan(marts.hourly_rollup(jobs.read_silver(spark, lake)))
     assert len(_scans(text)) == 1
