@@ -2,8 +2,10 @@
 
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 from rows import frame, trip
 
 from curbside.operators.marts import mart_schema
@@ -54,6 +56,24 @@ def test_any_number_of_open_partitions(spark, tmp_path, open_partitions):
     assert spark.conf.get(option) == before
 
 
+@pytest.mark.parametrize("flavour", [T.TimestampType(), T.TimestampNTZType()], ids=str)
+def test_timestamps_are_stored_with_statistics(spark, tmp_path, flavour):
+    option = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(option)
+    df = frame(spark, [trip()], timestamp=flavour).coalesce(1)
+    overwrite_table(df, f"{tmp_path}/t")
+    (part,) = (tmp_path / "t").glob("part-*.parquet")
+    group = pq.ParquetFile(part).metadata.row_group(0)
+    pickup = next(
+        group.column(i)
+        for i in range(group.num_columns)
+        if group.column(i).path_in_schema == "tpep_pickup_datetime"
+    )
+    assert pickup.physical_type == "INT64" and pickup.statistics.has_min_max
+    assert read_table(spark, f"{tmp_path}/t").collect() == df.collect()
+    assert spark.conf.get(option) == before
+
+
 @pytest.mark.parametrize(
     ("output", "source"),
     [
