@@ -6,6 +6,7 @@ volume, from `lineitem` and `orders`) as described in `curbside/testbed.py`.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -216,6 +217,16 @@ def preview_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(gold_peak_hours(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- training data
+
+# The operators on training data are a subpackage of their own and may be left out.
+_LLM: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_LLM_SQL: dict[str, str] = {}
+if importlib.util.find_spec("curbside.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from curbside.llm import queries as llm_queries
+
+    _LLM, _LLM_SQL = llm_queries.QUERIES, llm_queries.ORACLE_SQL
+
 # ---------------------------------------------------------------- contract
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
@@ -257,7 +268,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    return {query.__name__: query for query in _QUERIES} | _LLM
 
 
 def _feed(trips_sql: str, period: tuple[str, str]) -> str:
@@ -419,4 +430,4 @@ def oracle_sql() -> dict[str, str]:
         "preview_top20": ev + peaks + """
             ORDER BY taxi_type, total_corridas DESC, hour LIMIT 20
         """,
-    }
+    } | _LLM_SQL

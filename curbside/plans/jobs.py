@@ -17,7 +17,7 @@ from curbside.operators.marts import (
     mart_schema,
     rollup_basis,
 )
-from curbside.sources import materialise, overwrite_table, preview, read_table, scan_landing
+from curbside.sources import overwrite_table, preview, read_table, scan_landing
 from curbside.spec import DEFAULT_SPEC, TripSpec
 
 log = logging.getLogger(__name__)
@@ -41,9 +41,9 @@ class Lake:
         return f"{self.root.rstrip('/')}/silver/all_taxi"
 
     @property
-    def scratch(self) -> str:
-        """Where the rollup goes in a session without a checkpoint folder."""
-        return f"{self.root.rstrip('/')}/scratch"
+    def rollup(self) -> str:
+        """The marts' common input, replaced by every run."""
+        return f"{self.root.rstrip('/')}/gold/hourly_rollup"
 
     def gold(self, mart: str) -> str:
         return f"{self.root.rstrip('/')}/gold/{mart}"
@@ -190,8 +190,8 @@ def gold(spark: SparkSession, lake: Lake, show: bool = False) -> dict[str, DataF
     stored marts.
     """
     trips = read_silver(spark, lake)
-    rollup = materialise(hourly_rollup(trips, lake.spec), "hourly_rollup", lake.scratch)
-    rollup = rollup.coalesce(1)
+    overwrite_table(hourly_rollup(trips, lake.spec), lake.rollup, lake.fmt, inputs=[lake.silver])
+    rollup = read_table(spark, lake.rollup, lake.fmt).coalesce(1)
     written = {}
     for name, mart in MARTS.items():
         result = mart(rollup, lake.spec, rollup_basis())

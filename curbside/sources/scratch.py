@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHARED = "spark.checkpoint.dir"
+_WAREHOUSE = "spark.sql.warehouse.dir"
 
 
-@cache
-def _local_root() -> tempfile.TemporaryDirectory:
-    return tempfile.TemporaryDirectory(prefix="curbside-")
+def scratch_root(spark: SparkSession) -> str:
+    """The application's folder below `spark.checkpoint.dir`, or below the warehouse (the
+    other folder that every executor reaches) in a session without that setting. The
+    file system removes it when the session's JVM ends."""
+    shared = spark.conf.get(_SHARED, None) or f"{spark.conf.get(_WAREHOUSE).rstrip('/')}/_scratch"
+    root = f"{shared.rstrip('/')}/curbside-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return root
 
 
-def scratch_path(spark: SparkSession, name: str, fallback: str | None = None) -> str:
-    """A fresh folder below `spark.checkpoint.dir`.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one table, gone when the session ends."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
 
-    Without that setting it is below `fallback`, which must be shared as well. Only a
-    local session may do without both; there the folder lives as long as the Python
-    process.
-    """
-    root = spark.conf.get(_SHARED, None) or fallback
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError(f"set {_SHARED} to a folder that all executors share")
-        root = _local_root().name
-    return f"{root.rstrip('/')}/curbside-{uuid.uuid4().hex}/{name}"
 
-
-def materialise(df: DataFrame, name: str, fallback: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """`df` computed once, stored, and read back: later plans start from the file,
     and losing an executor does not bring the computation back."""
-    path = scratch_path(df.sparkSession, name, fallback)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

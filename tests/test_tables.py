@@ -1,6 +1,5 @@
 """Reading and overwriting stored tables."""
 
-from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 import pytest
@@ -103,29 +102,21 @@ def test_refused_before_the_table_is_touched(spark, tmp_path):
     assert read_table(spark, path).count() == 3
 
 
-class _Session:
-    """Stands in for a session with these settings."""
-
-    def __init__(self, **settings):
-        settings = {key.replace("_", "."): value for key, value in settings.items()}
-        self.conf = SimpleNamespace(get=settings.get)
-
-
-def test_scratch_follows_the_session():
-    session = _Session(spark_checkpoint_dir="hdfs://shared/tmp/", spark_master="yarn")
-    first, second = scratch_path(session, "x"), scratch_path(session, "x")
+def test_scratch_follows_the_session(spark):
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first != second
-    assert all(p.startswith("hdfs://shared/tmp/curbside-") for p in (first, second))
+    root = f"{spark.conf.get('spark.checkpoint.dir')}/curbside-"
+    assert all(p.startswith(root) for p in (first, second))
 
 
-def test_scratch_without_a_shared_folder():
-    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
-        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-            scratch_path(_Session(spark_master=master), "x")
-    assert scratch_path(_Session(spark_master="local[2]"), "x").endswith("/x")
-    for master in ("yarn", "local[2]"):
-        path = scratch_path(_Session(spark_master=master), "x", "s3a://lake/scratch")
-        assert path.startswith("s3a://lake/scratch/curbside-")
+def test_scratch_without_a_checkpoint_folder_is_in_the_warehouse(spark, monkeypatch):
+    get = spark.conf.get
+    monkeypatch.setattr(
+        type(spark.conf), "get",
+        lambda self, key, *rest: None if key == "spark.checkpoint.dir" else get(key, *rest),
+    )
+    warehouse = get("spark.sql.warehouse.dir").rstrip("/")
+    assert scratch_path(spark, "x").startswith(f"{warehouse}/_scratch/curbside-")
 
 
 def test_materialise_starts_from_the_stored_rows(spark):
