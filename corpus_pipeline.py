@@ -12,10 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.llm.common import materialise
+from curbside.llm.decontaminate import decontaminate
 from curbside.llm.neardup import near_duplicates
+from curbside.llm.pieces import encode_pieces
+from curbside.llm.pii import redact
 from curbside.llm.quality import importance_resample
 
 
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary files are installed, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of `docs` whose id has a row in `verdicts` that is kept. Rows with a
     null id have no verdict and stay."""
@@ -34,9 +44,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _kept(docs, near_duplicates(docs, width=5)).dropDuplicates(["doc_id", "text"])
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of benchmark items go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    cut = redact(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the document's pieces, with merge dropout."""
+    pieces = encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
+    return pieces.select("doc_id", "pieces", F.size("pieces").cast("bigint").alias("n_pieces"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_quality),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("pieces", encode_documents),
 ]
 
 #: Hash models, MinHash groups and merge dropout have no SQL form.

@@ -135,11 +135,18 @@ def tokenise(
     real = kind[runs] != SEPARATOR
     start, end = runs[real], ends[real]
     first = np.searchsorted(start, limits)
+    return Tokens(data, limits, start, end, first, run_hashes(data, start, end, letters))
+
+
+def run_hashes(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray = EXACT
+) -> np.ndarray:
+    """Hashes of the byte runs `start:end`: polynomials, got from one prefix sum."""
+    n = len(data)
     up, down = _Tables.of(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(letters[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Tokens(data, limits, start, end, first, hashes)
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
