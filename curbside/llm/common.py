@@ -26,10 +26,12 @@ def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def parts(df: DataFrame, unit: int = 8 << 20) -> int:
-    """Number of groups to deal work into: one for `unit` bytes of stored input (the
-    optimizer's estimate, no job), the session's shuffle partitions at least."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
+    """Number of groups to deal work into: one for `unit` bytes of the tables that `df`
+    reads (as far as the optimizer knows their sizes; no job is run), the session's
+    shuffle partitions at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # in-memory rows have no known size
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(size // unit, 1 << 20))
 

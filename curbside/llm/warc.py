@@ -106,7 +106,8 @@ def url_key(url: str) -> str:
     parts = urlsplit(url)
     host = (parts.hostname or "").removeprefix("www.")
     query = f"?{parts.query}" if parts.query else ""
-    return f"{','.join(reversed(host.split('.')))}){(parts.path or '/').lower()}{query.lower()}"
+    key = f"{','.join(reversed(host.split('.')))}){(parts.path or '/')}{query}"
+    return key.lower().replace(" ", "%20")
 
 
 # ---------------------------------------------------------------- packages

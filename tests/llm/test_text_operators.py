@@ -1,0 +1,456 @@
+"""Operators on documents against brute force, on the given tables and on odd rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from curbside.llm import chat, decontaminate, neardup, passages, pii, quality, tokens
+from curbside.llm import pieces as sp
+from curbside.llm import textblocks as tb
+
+from .conftest import ODD, documents
+
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+NORMAL = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(params=["given", "odd", "none"])
+def docs(request, table, odd_documents, no_documents):
+    return {"given": lambda: table("documents"), "odd": lambda: odd_documents,
+            "none": lambda: no_documents}[request.param]()
+
+
+# ------------------------------------------------------------------ passages
+
+
+def passages_by_hand(rows, width=13):
+    words = [(i, SPACED.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in words:
+        if i is not None:
+            for p in range(len(w) - width + 1):
+                key = tuple(w[p : p + width])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        if i is not None:
+            for p in range(len(w) - width + 1):
+                if first[tuple(w[p : p + width])] < i:
+                    gone[p : p + width] = [True] * width
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), kept))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [50, passages.CHUNK])
+def test_passages(docs, chunk):
+    found = passages.remove_repeated_passages(docs, chunk=chunk).collect()
+    mine = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found]
+    assert sorted(mine, key=repr) == sorted(passages_by_hand(rows_of(docs)), key=repr)
+    for row in found:
+        assert sum(s.end - s.start for s in row.spans) == row.n_removed
+        ends = [x for s in row.spans for x in (s.start, s.end)]
+        assert ends == sorted(set(ends))  # maximal: they don't touch
+
+
+# ------------------------------------------------------------------ near duplicates
+
+
+def groups_by_hand(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        w = SPACED.findall((t or "").translate(LOWER))
+        shingles = {tuple(w[p : p + width]) for p in range(len(w) - width + 1)}
+        sets[i] = frozenset(shingles or ({tuple(w)} if w else ()))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates(table, width):
+    docs = table("documents")
+    found = {r[0]: tuple(r)[1:] for r in neardup.near_duplicates(docs, width=width).collect()}
+    assert found == groups_by_hand(rows_of(docs), width, 80)
+
+
+def test_near_duplicates_of_odd_rows(odd_documents, no_documents):
+    rows = [r for r in rows_of(odd_documents)]
+    found = neardup.near_duplicates(odd_documents).collect()
+    assert len(found) == len(rows)
+    want = groups_by_hand([r for r in rows if r[0] is not None], 4, 80)
+    for row in found:
+        if row.doc_id is None:
+            assert row.component_id is None and row.kept
+        else:
+            assert tuple(row)[1:] == want[row.doc_id]
+    assert neardup.near_duplicates(no_documents).count() == 0
+
+
+def test_chains_and_groups_without_a_common_hub(spark):
+    """Near copies of near copies: neighbours are linked, the ends are not similar, and
+    the group's smallest id is not similar to most."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        rows.append((i, " ".join(words)))
+        at = int(rng.integers(0, 100))
+        words[at : at + 2] = [f"n{i}", f"m{i}"]
+        words = words[:100]
+    found = {r[0]: tuple(r)[1:] for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    assert found == groups_by_hand(rows, 4, 80)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    pairs = [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(200)]
+    pairs += [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 540)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    found = dict(map(tuple, neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert all(found.get(x, x) == find(x) for x in root)
+
+
+# ------------------------------------------------------------------ contamination
+
+
+def hits_by_hand(rows, items, width=10):
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = NORMAL.findall((text or "").translate(LOWER))
+        n = min(width, len(w))
+        for p in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[p : p + n])].add(item)
+    out = []
+    for i, t in rows:
+        w = NORMAL.findall((t or "").translate(LOWER))
+        hit, found = [False] * len(w), set()
+        for n in {len(k) for k in windows}:
+            for p in range(len(w) - n + 1):
+                if mine := windows.get(tuple(w[p : p + n])):
+                    hit[p : p + n] = [True] * n
+                    found |= mine
+        items_ = sorted(str(x) for x in found if x is not None)
+        out.append((i, len(w), sum(hit), items_, any(hit)))
+    return out
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_contamination(docs, table, slices):
+    items = table("benchmark").unionByName(docs.sparkSession.createDataFrame(
+        [(900, "two words"), (901, ""), (902, None), (903, "same line again and again same"),
+         (904, "ÀÉÎ über"), (905, "One"), (905, "a B c")], "item_id long, text string"))
+    if slices > 1:
+        size = decontaminate.item_windows(items, 10, "item_id", "text").count()
+        found = decontaminate.find_contamination(docs, items, slice_windows=-(-size // slices))
+    else:
+        found = decontaminate.find_contamination(docs, items)
+    mine = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()]
+    want = hits_by_hand(rows_of(docs), [tuple(r) for r in items.collect()])
+    assert sorted(mine, key=repr) == sorted(want, key=repr)
+
+
+def test_an_empty_benchmark_finds_nothing(odd_documents, table):
+    found = decontaminate.find_contamination(odd_documents, table("benchmark").limit(0))
+    assert found.filter("contaminated or n_hit > 0").count() == 0
+    assert found.count() == odd_documents.count()
+
+
+def test_spans_and_documents_are_removed(spark):
+    rows = [(1, "Keep this, ONE two. three four? five end"), (2, "clean  text"), (3, None)]
+    items = spark.createDataFrame([(7, "one two three four five")], "item_id long, text string")
+    docs = documents(spark, rows)
+    cut = decontaminate.decontaminate(docs, items, remove="spans")
+    assert cut.columns == docs.columns
+    assert dict(map(tuple, cut.select("doc_id", "text").collect())) == {
+        1: "Keep this end", 2: "clean  text", 3: None}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()} == {2, 3}
+
+
+# ------------------------------------------------------------------ personal data
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == "phone":
+        return 10 <= len(digits) <= 15
+    if kind == "card":
+        total = 0
+        for k, c in enumerate(reversed(digits)):
+            v = int(c) * (1 + k % 2)
+            total += v - 9 * (v > 9)
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return True
+
+
+def base_by_hand(text):
+    found = [
+        (m.start(), list(BASE).index(k), f"{k}:{m.start()}:{m.end()}")
+        for k in BASE for m in re.finditer(BASE[k], text or "") if valid(k, m.group())
+    ]
+    return ",".join(x[2] for x in sorted(found))
+
+
+PIECES = ["a@b.co", "x.y@z", ".", "-", " ", "+1", "(988)", "555-2485", "4111111111111111",
+          "4111 1111 1111 1111", "1.2.3.4", "256.1.1.1", "é", "😀", "﷐", "@", "_", "0", "99"]
+
+
+def test_base_spans(docs, spark):
+    rng = np.random.default_rng(5)
+    made = [(10_000 + i, "".join(rng.choice(PIECES, rng.integers(1, 14)))) for i in range(400)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    spans = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    found = pii.find_personal_data(docs).select("doc_id", "text", pii.listed(spans).alias("s")).collect()
+    assert len(found) == docs.count()
+    assert all(r.s == base_by_hand(r.text) for r in found)
+
+
+def test_added_spans_and_scores(spark):
+    rows = [(1, "iban DE89 3704 0044 0532 0130 00"), (2, "DE88 3704 0044 0532 0130 00"),
+            (3, "ssn 078-05-1120"), (4, "part 078-05-1120"), (5, "my e-mail: q@r.st")]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    kinds = {i: [s.kind for s in x if s.kind not in BASE] for i, x in found.items()}
+    assert kinds == {1: ["iban"], 2: [], 3: ["ssn"], 4: [], 5: []}
+    assert found[5][0].score == 1.0
+
+
+def test_redaction(spark, no_documents):
+    rows = [(1, "call +1 (988) 555-2485 or a@b.co."), (2, None), (3, "nothing"), (4, "")]
+    cut = pii.redact(documents(spark, rows))
+    assert dict(map(tuple, cut.select("doc_id", "text").collect())) == {
+        1: "call [PHONE] or [EMAIL].", 2: None, 3: "nothing", 4: ""}
+    assert cut.columns == no_documents.columns and pii.redact(no_documents).count() == 0
+
+
+# ------------------------------------------------------------------ tokens and pieces
+
+
+def test_token_files(docs, vocabulary, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    path = f"file://{tmp_path}/tokens"
+    tokens.write_tokens(docs, path, vocabulary("byte_bpe_50k.json"))
+    back = tokens.read_tokens(docs.sparkSession, path, "tokens")
+    found = {}
+    for r in back.collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.n_tokens, r.tokens))
+    want, start = {}, 0
+    order = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for i, t in order:
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
+        want.setdefault(i, []).append((start, len(ids), ids))
+        start += len(ids)
+    assert {i: sorted(x) for i, x in found.items()} == {i: sorted(x) for i, x in want.items()}
+    sums = {(r.start, r.ids_crc32) for r in tokens.checksums(back).collect()}
+    assert sums == {
+        (s, zlib.crc32(np.array(x, "<u4").tobytes())) for v in want.values() for s, _, x in v
+    }
+
+
+def test_token_files_are_laid_out_for_selective_reads(table, vocabulary, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/tokens"
+    tokens.write_tokens(table("documents"), f"file://{path}", vocabulary("byte_bpe_50k.json"))
+    file = pq.ParquetFile(max(glob.glob(f"{path}/*.parquet")))
+    group = file.metadata.row_group(0)
+    by = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    ids = next(c for p, c in by.items() if p.startswith("tokens"))
+    assert "RLE_DICTIONARY" in ids.encodings
+    assert "DELTA_BINARY_PACKED" in by["n_tokens"].encodings
+    assert all(c.has_offset_index for c in by.values())
+    plan = tokens.read_tokens(table("documents").sparkSession, f"file://{path}")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "array" not in text and "n_tokens:bigint" in text
+
+
+@pytest.fixture(scope="module")
+def models(vocabulary):
+    from sentencepiece import SentencePieceProcessor
+
+    path = vocabulary("piece_bpe_32k.model")
+    return sp.Pieces(path), SentencePieceProcessor(model_file=path)
+
+
+def pieces_of(model, texts, drop, seed=17):
+    ids, limits = sp.encode_block(
+        model, pa.array(texts, pa.string()), np.arange(len(texts), dtype=np.int64), seed, drop, 16
+    )
+    return ids, limits
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab ć\n▁ ABthe'!1\té😀\x00", max_size=60), min_size=1, max_size=8))
+def test_pieces_decode_to_the_text(models, texts):
+    model, library = models
+    for drop in (0, 0.1, 0.5, 1):
+        ids, limits = pieces_of(model, texts, drop)
+        assert [x.decode() for x in model.decode(ids, limits)] == texts
+        if drop == 0:
+            for text, a, b in zip(texts, limits[:-1], limits[1:], strict=True):
+                if "▁" not in text and "\x00" not in text:
+                    assert ids[a:b].tolist() == library.encode(text)
+
+
+def test_matrix_and_heap_agree(models):
+    model, _ = models
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("thenriosa "), rng.integers(2, 12))) for _ in range(300)]
+    symbols = [model.symbols(w) for w in words]
+    skips = rng.integers(0, 1 << 32, 300) & rng.integers(0, 1 << 32, 300)
+    table = np.full((300, 12), -1, dtype=np.int64)
+    for row, s in enumerate(symbols):
+        table[row, : len(s)] = s
+    merged, seen = model.matrix(table, skips)
+    for row, s in enumerate(symbols):
+        ids, count = model.heap(s, int(skips[row]))
+        assert (merged[row][merged[row] >= 0].tolist(), seen[row]) == (ids, count)
+
+
+def test_piece_query(docs, vocabulary):
+    path = vocabulary("piece_bpe_32k.model")
+    found = sp.encode_pieces(docs, path)
+    back = found.select("doc_id", "pieces", sp.decode(F.col("pieces"), path).alias("text")).collect()
+    want = sorted(((i, t or "") for i, t in rows_of(docs)), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in back), key=repr) == want
+    again = sp.encode_pieces(docs.repartition(3), path).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(((r.doc_id, r.pieces) for r in back), key=repr)
+
+
+def test_dropout_varies_words_and_follows_the_seed(models):
+    model, _ = models
+    texts = ["the internationalization of the internationalization"] * 60
+    ids, limits = pieces_of(model, texts, 0.3)
+    kinds = {tuple(ids[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)}
+    assert len(kinds) > 20
+    assert not np.array_equal(ids, pieces_of(model, texts, 0.3, seed=18)[0])
+    assert np.array_equal(ids, pieces_of(model, texts, 0.3)[0])
+
+
+# ------------------------------------------------------------------ quality
+
+
+def test_resampling_parts_held_out_documents(table):
+    """Fitted on half of the labels, judged on the other half."""
+    docs, labels = table("documents", "sf0.1"), table("labels", "sf0.1")
+    half = labels.filter("pmod(hash(doc_id), 2) = 0")
+    found = quality.importance_resample(docs, half)
+    rest = labels.filter("pmod(hash(doc_id), 2) = 1").join(found, "doc_id")
+    share = dict(
+        rest.groupBy((F.col("quality") * 10 + F.col("toxic")).alias("k"))
+        .agg(F.avg(F.col("kept").cast("int"))).collect()
+    )
+    assert share[10] > 0.95 and share[0] < 0.3 and share[11] < 0.4
+
+
+def test_exactly_k_are_drawn(table):
+    docs = table("documents").select("doc_id", "text")
+    for k in (0, 1, 77, 200, 500):
+        found = quality.importance_resample(docs, table("labels"), k=k)
+        rows = found.orderBy(F.desc("gumbel_key")).collect()
+        assert sum(r.kept for r in rows) == min(k, len(rows))
+        assert [r.kept for r in rows] == [i < k for i in range(len(rows))]
+
+
+def test_odd_rows_and_labels(odd_documents, no_documents, table, spark):
+    labels = spark.createDataFrame(
+        [(4, 1, 0), (4, 1, 0), (5, 0, None), (None, 1, 0), (6, None, None), (10, 1, 0)],
+        "doc_id long, quality int, toxic int")
+    found = quality.importance_resample(odd_documents, labels)
+    assert found.count() == odd_documents.count()
+    assert found.filter("log_weight > 0 or log_weight is null").count() == 0
+    none = quality.importance_resample(odd_documents, table("labels").limit(0))
+    assert none.filter("kept and log_weight = 0").count() == odd_documents.count()
+    assert quality.importance_resample(no_documents, labels).count() == 0
+
+
+# ------------------------------------------------------------------ chat
+
+
+def digests_by_hand(rows):
+    convs = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        convs[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    out = set()
+    for conv, turns in convs.items():
+        turns.sort()
+        whole = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
+        loss = "".join(t for *_, r, t in turns if r == "assistant")
+        out.add((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss),
+                 hashlib.sha256(loss.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("size", [200, tb.BLOCK_BYTES])
+def test_chats(spark, table, size):
+    rows = [tuple(r) for r in table("conversations").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(ODD)]
+    rows += [(-2, 0, None, "x"), (-2, None, "odd\\n\nrole<s>", "y"), (None, 1, "user", None), (-2, 0, None, "x")]
+    turns = spark.createDataFrame(
+        [(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, loss string, part int")
+    chats = chat.format_chats(turns, part_bytes=size)
+    stored = chats.collect()
+    for row in stored:
+        plain = row.text.replace(chat.START, "").replace(chat.END, "")
+        assert not any(c in plain for c in chat.CONTROLS)
+    found = {tuple(r)[:5] for r in chat.digests(chats).collect()}
+    assert found == digests_by_hand(rows)
+    empty = chat.format_chats(turns.limit(0))
+    assert empty.count() == 0 and chat.digests(empty).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<>[]\\/|sINTim_startend", max_size=80))
+def test_escaping_is_reversible(text):
+    for made in (text, text + "</s>", "<\\\\s>" + text, "[INST]" + text + "<|im_end|>"):
+        escaped = chat.escape(pa.array([made]))[0].as_py()
+        assert chat.unescape(escaped) == made
+        assert not any(c in escaped for c in chat.CONTROLS)
