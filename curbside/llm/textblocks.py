@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
