@@ -18,8 +18,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curbside.llm import textblocks as tb
 from curbside.llm.common import documents, row_key
@@ -31,13 +32,16 @@ _NEVER = np.int64(1) << 40
 #: Longer words have their agenda on a heap, one by one.
 _MATRIX = 24
 #: Segmentations a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
+#: Pieces decoded at a time.
+_DECODED = 1 << 19
 
 
 class Pieces:
-    """Merges, byte pieces and texts of a BPE model with byte fallback."""
+    """Merges, byte pieces and texts of a BPE model with byte fallback; texts alone if it
+    shall only decode."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encodes: bool = True):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -56,6 +60,10 @@ class Pieces:
             else:
                 self.ids[piece], scores[piece] = i, model.get_score(i)
                 texts.append(piece.replace(_BLANK, " ").encode())
+        self.text_start = np.cumsum([0, *map(len, texts)])
+        self.text = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        if not encodes:
+            return
         if any(_BLANK in p.lstrip(_BLANK) for p in self.ids):
             raise ValueError("pieces of this model cross words")
         # Neighbours that no piece holds together are never merged, nor is what lies
@@ -89,8 +97,6 @@ class Pieces:
             np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)
         )
         self.merges = {key: (rank, merged) for key, rank, merged in pairs}
-        self.text_start = np.cumsum([0, *map(len, texts)])
-        self.text = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.memo = Memo(REMEMBERED)
 
     def symbols(self, word: str) -> list[int]:
@@ -234,8 +240,8 @@ class Pieces:
 
 
 @cache
-def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+def _pieces(path: str, encodes: bool = True) -> Pieces:
+    return Pieces(path, encodes)
 
 
 def _skips(keys: np.ndarray, drop: float) -> np.ndarray:
@@ -344,7 +350,7 @@ def encode_pieces(
     """doc_id, pieces: whole texts as ids of the SentencePiece BPE model at `model`, each
     candidate merge skipped with probability `drop` (0: the model's own encoding).
 
-    `decode` of the pieces is the text, character by character, also with the blank sign
+    `decode_pieces` gives the text back, character by character, also with the blank sign
     U+2581, control characters or runs of blanks in it. Null and empty texts have no
     pieces. Rows repeating id and text have equal pieces; other rows differ, also with
     equal texts. A null id takes part like any other. Other columns are not read.
@@ -355,15 +361,31 @@ def encode_pieces(
     )
 
 
-def decode(pieces: Column, model: str) -> Column:
-    """The texts of id sequences."""
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _pieces(path, encodes=False)
+        for batch in batches:
+            limits = batch.column("pieces").offsets.to_numpy()
+            ids = batch.column("pieces").values.to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(limits, limits[at] + _DECODED, side="right")) - 1
+                to = min(max(to, at + 1), batch.num_rows)
+                texts = model.decode(
+                    ids[limits[at] : limits[to]], limits[at : to + 1] - limits[at]
+                )
+                yield pa.record_batch({
+                    **{c: batch.column(c).slice(at, to - at)
+                       for c in batch.schema.names if c != "pieces"},
+                    "text": pa.array(texts, pa.binary()).cast(pa.string()),
+                })
+                at = to
+
+    return run
 
-    @F.pandas_udf("string")
-    def texts(batch):
-        flat = [np.asarray(x if x is not None else [], dtype=np.int64) for x in batch]
-        limits = np.cumsum([0, *map(len, flat)])
-        ids = np.concatenate(flat) if flat else np.empty(0, np.int64)
-        found = _pieces(model).decode(ids, limits)
-        return batch.__class__([x.decode() for x in found])
 
-    return texts(pieces)
+def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
+    """`rows` with the text of their `pieces` in place of them. Null pieces are empty."""
+    real = rows.withColumn("pieces", F.coalesce("pieces", F.array().cast("array<int>")))
+    schema = StructType([f for f in rows.schema if f.name != "pieces"]).add("text", "string")
+    return real.mapInArrow(_decode(model), schema)

@@ -14,7 +14,7 @@ from curbside.llm.decontaminate import find_contamination
 from curbside.llm.neardup import near_duplicates
 from curbside.llm.neighbours import nearest
 from curbside.llm.passages import remove_repeated_passages
-from curbside.llm.pieces import decode, encode_pieces
+from curbside.llm.pieces import decode_pieces, encode_pieces
 from curbside.llm.pii import find_personal_data, listed
 from curbside.llm.quality import importance_resample
 
@@ -59,11 +59,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pieces(
     spark: SparkSession, sf_dir: str, model: str = corpus_pipeline.vocabulary("piece_bpe_32k.model")
 ) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    pieces = encode_pieces(docs, model)
-    return pieces.select("doc_id", "pieces", decode(F.col("pieces"), model).alias("text")).select(
+    pieces = encode_pieces(_table(spark, sf_dir, "documents"), model)
+    rows = pieces.select(
         "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"),
-        F.xxhash64("pieces").alias("pieces_hash"), F.length("text").alias("n_chars"),
+        F.xxhash64("pieces").alias("pieces_hash"), "pieces",
+    )
+    return decode_pieces(rows, model).select(
+        "doc_id", "n_pieces", "pieces_hash", F.length("text").alias("n_chars"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
 
