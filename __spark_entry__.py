@@ -11,6 +11,7 @@ import os
 import sys
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +103,31 @@ def iqr_fence_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iqr_fence_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.fence_stats(_trips(spark, sf_dir), EVENTS, method="approx")
+    """Per quartile: the population's size, and whether the approximate value is an
+    observed one whose rank is within size / accuracy of the wanted rank."""
+    from curbside.functions import duration_hours
+
+    accuracy = 10000
+    trips = _trips(spark, sf_dir)
+    stats = quality.fence_stats(trips, EVENTS, method="approx", accuracy=accuracy)
+    hours = quality.fence_population(trips, EVENTS).select(duration_hours(EVENTS).alias("hours"))
+    quartiles = stats.select(F.inline(F.array(*(
+        F.struct(F.lit(p).alias("share"), F.col(c).alias("value"))
+        for p, c in ((0.25, "p25"), (0.75, "p75"))
+    ))))
+    wanted, slack = F.col("share") * F.col("size"), F.col("size") / accuracy + 1
+    below, equal = F.col("hours") < F.col("value"), F.col("hours") == F.col("value")
+    return (
+        hours.join(F.broadcast(quartiles), F.lit(True))  # two rows
+        .groupBy("share", "value")
+        .agg(F.count("*").alias("size"), F.count_if(below).alias("low"),
+             F.count_if(equal).alias("same"))
+        .select(
+            "share", "size",
+            ((F.col("same") > 0) & (F.col("low") + 1 <= wanted + slack)
+             & (F.col("low") + F.col("same") >= wanted - slack)).alias("within"),
+        )
+    )
 
 
 def iqr_fence_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +203,25 @@ def gold_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_all(spark, lake)["trips_by_taxi_type"]
 
 
+def _stacked(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """Several small tables as one, told apart by the column `name`."""
+    parts = [df.withColumn(name, F.lit(key)) for key, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def gold_marts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four stored marts after a whole run."""
+    return _stacked(jobs.run_all(spark, _landed_lake(spark, sf_dir)), "mart")
+
+
+def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report set over the stored marts after a whole run."""
+    lake = _landed_lake(spark, sf_dir)
+    jobs.run_all(spark, lake)
+    sets = jobs.report(spark, lake)
+    return _stacked({k: v for k, v in sets.items() if k not in marts.MARTS}, "report")
+
+
 # ---------------------------------------------------------------- reports
 
 
@@ -251,6 +295,8 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     gold_peak_hours,
     gold_hourly_rollup,
     gold_roundtrip,
+    gold_marts_roundtrip,
+    report_roundtrip,
     report_month_labels,
     report_month_table,
     report_hour_table,
@@ -353,6 +399,11 @@ def oracle_sql() -> dict[str, str]:
         """,
         "trip_duration": ev + "SELECT vendor_id, pickup_ts, dropoff_ts, hours FROM timed",
         "iqr_fence_exact": ev + "SELECT p25, p75, fence FROM fence",
+        "iqr_fence_approx": ev + """
+            SELECT share, count(*) AS size, true AS within
+            FROM population, (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) AS q(share)
+            GROUP BY share
+        """,
         "iqr_fence_shipments": ship + "SELECT p25, p75, fence FROM fence",
         "silver_clean": ev + f"SELECT {contract} FROM silver",
         "silver_clean_shipments": ship + f"SELECT {contract} FROM silver",
@@ -386,6 +437,43 @@ def oracle_sql() -> dict[str, str]:
             FROM silver GROUP BY 1, 2, 3
         """,
         "gold_roundtrip": ev + by_type + "ORDER BY taxi_type, month",
+        "gold_marts_roundtrip": ev + f"""
+            , by_type AS ({by_type}), by_month AS ({by_month}), by_hour AS ({by_hour}),
+            peaks AS ({peaks})
+            SELECT 'trips_by_taxi_type' AS mart, * FROM by_type
+            UNION ALL BY NAME SELECT 'avg_total_by_month' AS mart, * FROM by_month
+            UNION ALL BY NAME SELECT 'avg_passengers_by_hour' AS mart, * FROM by_hour
+            UNION ALL BY NAME SELECT 'top_hours_by_taxi_type' AS mart, * FROM peaks
+        """,
+        "report_roundtrip": ev + f"""
+            , by_type AS ({by_type}), by_month AS ({by_month}), by_hour AS ({by_hour}),
+            peaks AS ({peaks})
+            SELECT 'month_table' AS report, {label} AS "Mês",
+                   avg_total_amount AS "Média (USD)", total_corridas AS "Total corridas"
+            FROM by_month
+            UNION ALL BY NAME
+            SELECT 'hour_table' AS report, hour AS "Hora",
+                   avg_passengers AS "Média passageiros", total_corridas AS "Total corridas"
+            FROM by_hour
+            UNION ALL BY NAME
+            SELECT 'type_table' AS report, taxi_type, {label} AS mes_nome, total_corridas,
+                   avg_total_amount, avg_passengers
+            FROM by_type
+            UNION ALL BY NAME
+            SELECT 'kpis' AS report, taxi_type,
+                   CAST(sum(total_corridas) AS BIGINT) AS total_corridas,
+                   round(avg(avg_total_amount), 2) AS ticket_medio
+            FROM by_type GROUP BY taxi_type
+            UNION ALL BY NAME
+            SELECT 'side_by_side' AS report, month, {label} AS mes_nome,
+                   max(total_corridas) FILTER (taxi_type = 'yellow') AS yellow_total_corridas,
+                   max(avg_total_amount) FILTER (taxi_type = 'yellow') AS yellow_avg_total_amount,
+                   max(total_corridas) FILTER (taxi_type = 'green') AS green_total_corridas,
+                   max(avg_total_amount) FILTER (taxi_type = 'green') AS green_avg_total_amount
+            FROM by_type GROUP BY month
+            UNION ALL BY NAME
+            SELECT 'hour_facets' AS report, taxi_type, hour, total_corridas FROM peaks
+        """,
         "report_month_labels": ev + f"""
             , by_type AS ({by_type})
             SELECT taxi_type, {label} AS mes_nome, total_corridas, avg_total_amount,

@@ -4,6 +4,8 @@ import pytest
 from compare import duck, duck_result, spark_result
 
 import __spark_entry__ as entry
+from curbside import testbed
+from curbside.operators import quality
 
 # The queries on training data are tested with their subpackage.
 QUERIES = {name: q for name, q in entry.queries().items() if name not in entry._LLM}
@@ -17,7 +19,7 @@ def con(sf_check):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"iqr_fence_approx"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", ORACLES)
@@ -30,7 +32,8 @@ def test_query_equals_sql(spark, con, sf_check, name):
 
 def test_approximation_is_near(spark, sf_check):
     exact = QUERIES["iqr_fence_exact"](spark, sf_check).first()
-    approx = QUERIES["iqr_fence_approx"](spark, sf_check).first()
+    trips = testbed.trips_from_events(spark, sf_check)
+    approx = quality.fence_stats(trips, testbed.EVENTS, method="approx").first()
     assert approx.fence == pytest.approx(exact.fence, rel=0.01)
 
 
