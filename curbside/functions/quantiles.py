@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,9 @@ def discrete_quantiles(df: DataFrame, value: Column, probs: Mapping[str, float])
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
-            F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(p)))).alias("rank"),
+            # In decimals: as doubles, 0.07 of 100 is a little more than 7.
+            F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(Decimal(str(p)))))
+            .cast("bigint").alias("rank"),
         )
         for name, p in probs.items()
     ])

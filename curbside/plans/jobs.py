@@ -137,7 +137,10 @@ class SilverRun:
 
     @property
     def removed_pct(self) -> float | None:
-        return round(self.removed_rows / self.raw_rows * 100, 1) if self.raw_rows else None
+        """One decimal, halves up, as in `quality.cleaning_report`."""
+        if not self.raw_rows:
+            return None
+        return (2000 * self.removed_rows + self.raw_rows) // (2 * self.raw_rows) / 10
 
 
 def silver(spark: SparkSession, lake: Lake, **how) -> SilverRun:
@@ -168,7 +171,10 @@ def silver(spark: SparkSession, lake: Lake, **how) -> SilverRun:
         by_source=quality.trips_by_source(stored, spec),
         by_month=quality.trips_by_month(stored, spec),
     )
-    log.info("raw %d, clean %d, removed %d", run.raw_rows, run.clean_rows, run.removed_rows)
+    log.info(
+        "raw %d, clean %d, removed %d (%s %%)",
+        run.raw_rows, run.clean_rows, run.removed_rows, run.removed_pct,
+    )
     return run
 
 

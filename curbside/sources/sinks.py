@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 _TIMESTAMPS = "spark.sql.parquet.outputTimestampType"
+_WRITING = threading.RLock()
 
 
 def _normal(path: str) -> str:
@@ -27,15 +29,18 @@ def reject_overlap(output: str, inputs: Iterable[str]) -> None:
 
 @contextmanager
 def _settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
-    """Session settings for the duration of one write."""
-    before = {key: spark.conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    """Session settings for the duration of one write. Writes of several threads take
+    turns, so none restores another's values; what was not set is unset again."""
+    with _WRITING:
+        explicit = spark.conf.getAll
+        before = {key: explicit.get(key) for key in settings}
+        try:
+            for key, value in settings.items():
+                spark.conf.set(key, value)
+            yield
+        finally:
+            for key, value in before.items():
+                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def overwrite_table(

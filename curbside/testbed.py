@@ -1,8 +1,8 @@
 """Trip feeds derived from the test tables, for queries, tests and the benchmark.
 
 `trips_from_events` is the main feed: all events, spread over six months, with
-every kind of defect the quality rules look for. `trips_from_shipments` has the
-volume (one trip per line item). Each comes with the same feed as SQL text.
+every kind of defect the quality rules look for but two. `trips_from_shipments` has the
+volume (one trip per line item) and those two: trips before the period, and null times. Each comes with the same feed as SQL text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ EVENTS = TripSpec(
     period_end="2024-05-31",
 )
 
-SHIPMENTS = replace(EVENTS, renames={}, period_start="1995-01-01", period_end="1995-05-31")
+SHIPMENTS = replace(EVENTS, renames={}, period_start="1995-02-01", period_end="1995-05-31")
 
 EVENTS_SQL = """
     SELECT user_id AS vendor_id,
@@ -47,7 +47,9 @@ EVENTS_SQL = """
 
 SHIPMENTS_SQL = """
     SELECT l_suppkey AS vendor_id, l_quantity AS passenger_count,
-           l_extendedprice AS total_amount, o_orderdate AS pickup_ts, l_shipdate AS dropoff_ts,
+           l_extendedprice AS total_amount,
+           CASE WHEN l_orderkey % 19 <> 0 THEN o_orderdate END AS pickup_ts,
+           CASE WHEN l_orderkey % 23 <> 0 THEN l_shipdate END AS dropoff_ts,
            CASE WHEN l_linestatus = 'O' THEN 'yellow' ELSE 'green' END AS taxi_type
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
@@ -96,8 +98,8 @@ def trips_from_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("vendor_id"),
         F.col("l_quantity").alias("passenger_count"),
         F.col("l_extendedprice").alias("total_amount"),
-        F.col("o_orderdate").alias("pickup_ts"),
-        F.col("l_shipdate").alias("dropoff_ts"),
+        F.when(F.col("l_orderkey") % 19 != 0, F.col("o_orderdate")).alias("pickup_ts"),
+        F.when(F.col("l_orderkey") % 23 != 0, F.col("l_shipdate")).alias("dropoff_ts"),
         F.when(F.col("l_linestatus") == "O", "yellow").otherwise("green").alias("taxi_type"),
     )
 
