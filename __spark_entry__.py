@@ -111,23 +111,23 @@ def iqr_fence_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = _trips(spark, sf_dir)
     stats = quality.fence_stats(trips, EVENTS, method="approx", accuracy=accuracy)
     hours = quality.fence_population(trips, EVENTS).select(duration_hours(EVENTS).alias("hours"))
-    quartiles = stats.select(F.inline(F.array(*(
-        F.struct(F.lit(p).alias("share"), F.col(c).alias("value"))
-        for p, c in ((0.25, "p25"), (0.75, "p75"))
-    ))))
-    wanted, slack = F.col("share") * F.col("size"), F.col("size") / accuracy + 1
-    below, equal = F.col("hours") < F.col("value"), F.col("hours") == F.col("value")
-    return (
-        hours.join(F.broadcast(quartiles), F.lit(True))  # two rows
-        .groupBy("share", "value")
-        .agg(F.count("*").alias("size"), F.count_if(below).alias("low"),
-             F.count_if(equal).alias("same"))
-        .select(
-            "share", "size",
-            ((F.col("same") > 0) & (F.col("low") + 1 <= wanted + slack)
-             & (F.col("low") + F.col("same") >= wanted - slack)).alias("within"),
-        )
-    )
+    counts = [F.count("*").alias("size")]
+    for name in ("p25", "p75"):
+        value = stats.select(name).scalar()
+        counts += [
+            F.count_if(F.col("hours") < value).alias(f"{name}_low"),
+            F.count_if(F.col("hours") <= value).alias(f"{name}_upto"),
+        ]
+    slack = F.col("size") / accuracy + 1
+
+    def quartile(name: str, share: float):
+        low, upto = F.col(f"{name}_low"), F.col(f"{name}_upto")
+        rank = F.col("size") * share
+        within = (low < upto) & (low + 1 <= rank + slack) & (upto >= rank - slack)
+        return F.struct(F.lit(share).alias("share"), "size", within.alias("within"))
+
+    both = F.array(quartile("p25", 0.25), quartile("p75", 0.75))
+    return hours.agg(*counts).select(F.inline(both))
 
 
 def iqr_fence_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
