@@ -156,12 +156,17 @@ def silver_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silver_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every partition of the cleaned table, written and read back."""
     path = scratch_path(spark, "all_taxi")
     overwrite_table(
         _silver(spark, sf_dir), path, partition_by=[EVENTS.source], open_partitions=2
     )
-    stored = read_table(spark, path).select(*EVENTS.contract)
-    return stored.filter(F.col(EVENTS.source) == "yellow")
+    return read_table(spark, path).select(*EVENTS.contract)
+
+
+def silver_partition_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition of it; the scan leaves the other out."""
+    return silver_partition_roundtrip(spark, sf_dir).filter(F.col(EVENTS.source) == "yellow")
 
 
 # ---------------------------------------------------------------- marts
@@ -200,7 +205,16 @@ def gold_hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every layer through its stored table: landing, raw, cleaned, marts."""
     lake = _landed_lake(spark, sf_dir)
-    return jobs.run_all(spark, lake)["trips_by_taxi_type"]
+    return jobs.run_all(spark, lake).marts["trips_by_taxi_type"]
+
+
+def gold_one_month_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-month mart from the stored trips of that month's partitions."""
+    lake = _landed_lake(spark, sf_dir)
+    jobs.bronze_all(spark, lake)
+    jobs.silver(spark, lake)
+    trips = jobs.read_silver(spark, lake, month=EVENTS.passengers_month)
+    return marts.avg_passengers_by_hour(trips, EVENTS)
 
 
 def _stacked(tables: dict[str, DataFrame], name: str) -> DataFrame:
@@ -211,7 +225,7 @@ def _stacked(tables: dict[str, DataFrame], name: str) -> DataFrame:
 
 def gold_marts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four stored marts after a whole run."""
-    return _stacked(jobs.run_all(spark, _landed_lake(spark, sf_dir)), "mart")
+    return _stacked(jobs.run_all(spark, _landed_lake(spark, sf_dir)).marts, "mart")
 
 
 def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,6 +302,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     silver_by_type,
     silver_by_month,
     silver_partition_roundtrip,
+    silver_partition_pruned,
     gold_avg_total_by_month,
     gold_avg_passengers_by_hour,
     gold_trips_by_type,
@@ -295,6 +310,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     gold_peak_hours,
     gold_hourly_rollup,
     gold_roundtrip,
+    gold_one_month_stored,
     gold_marts_roundtrip,
     report_roundtrip,
     report_month_labels,
@@ -421,10 +437,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(month(pickup_ts) AS INTEGER) AS month, count(*) AS total_corridas
             FROM silver GROUP BY 1 ORDER BY 1
         """,
-        "silver_partition_roundtrip": ev
+        "silver_partition_roundtrip": ev + f"SELECT {contract} FROM silver",
+        "silver_partition_pruned": ev
         + f"SELECT {contract} FROM silver WHERE taxi_type = 'yellow'",
         "gold_avg_total_by_month": ev + by_month + "ORDER BY month",
         "gold_avg_passengers_by_hour": ev + by_hour + "ORDER BY hour",
+        "gold_one_month_stored": ev + by_hour + "ORDER BY hour",
         "gold_trips_by_type": ev + by_type + "ORDER BY taxi_type, month",
         "gold_trips_by_type_shipments": ship + by_type + "ORDER BY taxi_type, month",
         "gold_peak_hours": ev + peaks + "ORDER BY taxi_type, total_corridas DESC, hour",

@@ -38,21 +38,19 @@ def main(argv: list[str] | None = None) -> None:
     }
     spec = replace(DEFAULT_SPEC, **{name: value for name, value in changes.items() if value})
     lake = jobs.Lake(root=args.root, landing=args.landing, fmt=args.format, spec=spec)
-    if args.job == "bronze":
+    if args.job in ("bronze", "all"):
         jobs.bronze_all(spark, lake)
         jobs.bronze_summary(spark, lake).show(truncate=False)
-    elif args.job == "silver":
+    if args.job in ("silver", "all"):
         run = jobs.silver(spark, lake)
         run.by_source.show()
         run.by_month.show()
-    elif args.job == "gold":
+    if args.job in ("gold", "all"):
         jobs.gold(spark, lake, show=True)
-    elif args.job == "report":
+    if args.job == "report":
         for name, table in jobs.report(spark, lake).items():
             print(name)
             table.show(truncate=False)
-    else:
-        jobs.run_all(spark, lake, show=True)
 
 
 if __name__ == "__main__":

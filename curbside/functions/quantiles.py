@@ -4,61 +4,59 @@ Spark's own quantile aggregates are global: each input task ships its sketch
 (`percentile_approx`) or its map of distinct values (`percentile_disc`) to one
 reducer, which merges all of them. With hundreds of thousands of input tasks that
 one reducer is the whole job. Here the work is a histogram keyed by value, which
-combines map-side and spreads over the shuffle, plus a lookup whose single-task
-part has a size that does not depend on the number of rows.
+combines map-side and spreads over the shuffle, and a descent through it: each level
+cuts the bucket that holds a wanted rank into a fixed number of smaller ones, until a
+bucket is one value. No level orders more buckets per probability than that number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bands per factor e. ln(2^63) is below 43.7, so there are at most
-# 2 * 43.7 * 256 < 22,400 bands whatever the data, and a band around v spans at most
-# v / 256 + 1 different values: 340 around a day of seconds, 124,000 around a year.
-_BANDS_PER_E = 256
-
-
-def discrete_quantiles(df: DataFrame, value: Column, probs: Mapping[str, float]) -> DataFrame:
+def discrete_quantiles(
+    df: DataFrame,
+    value: Column,
+    probs: Mapping[str, float],
+    bits: int = 64,
+    level_bits: int = 23,
+) -> DataFrame:
     """One row with, per name in `probs`, the smallest observed `value` whose
     cumulative share of the rows reaches that probability.
 
     `value` must be integral; null values are ignored. Without any value the row
     holds nulls.
+
+    A level orders at most 2^`level_bits` buckets per probability in one task, if the
+    values are whole numbers of `bits` bits. Larger ones are counted rightly, too, but
+    may make more buckets at the first level. Fewer bits take fewer levels.
     """
-    # 1. Histogram: at most one row per task and distinct value is shuffled, so a
-    #    value shared by a third of the rows is still one row per task.
+    # Histogram: at most one row per task and distinct value is shuffled, so a value
+    # shared by a third of the rows is still one row per task. Every level reads it; with
+    # equal subplans its shuffle is computed once and reused.
     hist = (
-        df.select(value.alias("v"))
+        df.select(value.cast("bigint").alias("v"))
         .filter("v IS NOT NULL")
         .groupBy("v")
         .agg(F.count("*").alias("n"))
-        .selectExpr(
-            "v",
-            "n",
-            f"CAST(signum(v) * floor(log1p(abs(CAST(v AS DOUBLE))) * {_BANDS_PER_E}) AS INT)"
-            " AS band",
-        )
     )
 
-    # 2. Running totals over the bands (their number is bounded, see above).
+    # The widest buckets, with the number of rows below and up to each.
+    shift = (bits - 1) // level_bits * level_bits
     running = (
-        hist.groupBy("band")
-        .agg(F.sum("n").alias("band_n"))
+        hist.groupBy(F.shiftright("v", shift).alias("bucket"))
+        .agg(F.sum("n").alias("n"))
         .selectExpr(
-            "band",
-            "sum(band_n) OVER (ORDER BY band) - band_n AS before",
-            "sum(band_n) OVER (ORDER BY band) AS upto",
-            "sum(band_n) OVER (ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING"
+            "bucket",
+            "sum(n) OVER (ORDER BY bucket) - n AS before",
+            "sum(n) OVER (ORDER BY bucket) AS upto",
+            "sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING"
             " AND UNBOUNDED FOLLOWING) AS total",
         )
     )
-
-    # 3. The band that holds each wanted rank: one row per probability.
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
@@ -68,29 +66,32 @@ def discrete_quantiles(df: DataFrame, value: Column, probs: Mapping[str, float])
         )
         for name, p in probs.items()
     ])
-    targets = (
+    found = (
         running.withColumn("want", F.explode(wanted))
         .filter("before < want.rank AND want.rank <= upto")
-        .selectExpr("band AS target_band", "before", "want.name", "want.rank")
+        .selectExpr("want.name", "want.rank", "bucket", "before")
     )
 
-    # 4. Inside those bands only, walk the values up to the rank. `targets` has
-    #    len(probs) rows, so broadcasting it is safe at any scale; the values walked
-    #    are those of len(probs) bands. The join is null-safe only to keep Spark from
-    #    adding a null check below this branch's aggregate: with equal subplans the
-    #    histogram's shuffle is computed once and reused.
-    walked = hist.join(
-        F.broadcast(targets), F.col("band").eqNullSafe(F.col("target_band"))
-    ).selectExpr(
-        "v",
-        "name",
-        "rank",
-        *[
-            f"before + sum(CASE WHEN name = '{name}' THEN n END) OVER (ORDER BY v) AS `{name}`"
-            for name in probs
-        ],
-    )
-    return walked.agg(*[
-        F.expr(f"min(CASE WHEN name = '{name}' AND `{name}` >= rank THEN v END)").alias(name)
-        for name in probs
+    # Down into the bucket of each wanted rank. `found` has one row per probability, so
+    # broadcasting it is safe at any scale. The join is null-safe only to keep Spark from
+    # adding a null check below the histogram, which would then be another subplan.
+    while shift:
+        inside = F.shiftright("v", shift).eqNullSafe(F.col("bucket"))
+        shift -= level_bits
+        found = (
+            hist.join(F.broadcast(found), inside)
+            .groupBy("name", "rank", "before", F.shiftright("v", shift).alias("bucket"))
+            .agg(F.sum("n").alias("n"))
+            .selectExpr(
+                "name",
+                "rank",
+                "bucket",
+                "before + sum(n) OVER (PARTITION BY name ORDER BY bucket) - n AS before",
+                "n",
+            )
+            .filter("before < rank AND rank <= before + n")
+            .drop("n")
+        )
+    return found.agg(*[
+        F.expr(f"min(CASE WHEN name = '{name}' THEN bucket END)").alias(name) for name in probs
     ])

@@ -14,6 +14,20 @@ from curbside.spec import DEFAULT_SPEC, TripSpec
 _INSTANTS = (T.TimestampType, T.TimestampNTZType)
 
 
+# Types that widen to a contract type without losing a value (a whole number beyond 2^53
+# is no passenger count and no amount).
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_WIDENS = {
+    T.LongType: _WHOLE,
+    T.DoubleType: (*_WHOLE, T.FloatType),
+    T.TimestampType: _INSTANTS,
+}
+
+
+class ContractTypeError(TypeError):
+    """A contract column has a type that does not widen to the contract's."""
+
+
 class MixedTimestampsError(TypeError):
     """One column is a zoned timestamp in one input and an un-zoned one in another."""
 
@@ -26,9 +40,25 @@ def tag_source(df: DataFrame, source: str, spec: TripSpec = DEFAULT_SPEC) -> Dat
 def conform(df: DataFrame, source: str, spec: TripSpec = DEFAULT_SPEC) -> DataFrame:
     """A source's raw table under the common names, cut to the contract columns.
 
-    Names to be replaced may be absent; a missing contract column is an error.
+    Names to be replaced may be absent; a missing contract column is an error. Narrower
+    whole numbers and floats widen to the contract's types; timestamps keep their
+    flavour; a column of any other type raises `ContractTypeError`, before a job runs.
     """
-    return df.withColumnsRenamed(dict(spec.renames.get(source, {}))).select(*spec.contract)
+    named = df.withColumnsRenamed(dict(spec.renames.get(source, {}))).select(*spec.contract)
+    wanted = spec.contract_schema()
+    wrong = [
+        f"{has.name} is {has.dataType.simpleString()}, not {want.dataType.simpleString()}"
+        for has, want in zip(named.schema, wanted)
+        if has.dataType != want.dataType
+        and not isinstance(has.dataType, _WIDENS.get(type(want.dataType), ()))
+    ]
+    if wrong:
+        raise ContractTypeError(f"{source}: {'; '.join(wrong)}")
+    return named.withColumns({
+        has.name: F.col(has.name).cast(want.dataType)
+        for has, want in zip(named.schema, wanted)
+        if has.dataType != want.dataType and not isinstance(has.dataType, _INSTANTS)
+    })
 
 
 def drift_union(dfs: Sequence[DataFrame]) -> DataFrame:

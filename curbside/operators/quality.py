@@ -13,6 +13,10 @@ from curbside.functions.time import duration_hours, duration_seconds
 from curbside.spec import DEFAULT_SPEC, MONTH, TOTAL_LABEL, TRIPS, TripSpec
 
 
+# Instants are 64-bit microseconds, so the seconds between two of them fit 46 bits.
+_DURATION_BITS = 46
+
+
 class EmptyPopulationError(ValueError):
     """There is no trip to compute the fence from."""
 
@@ -52,7 +56,7 @@ def fence_stats(
     population = fence_population(df, spec)
     if method == "exact":
         quartiles = discrete_quantiles(
-            population, duration_seconds(spec), {"p25": 0.25, "p75": 0.75}
+            population, duration_seconds(spec), {"p25": 0.25, "p75": 0.75}, _DURATION_BITS
         ).select((F.col("p25") / 3600).alias("p25"), (F.col("p75") / 3600).alias("p75"))
     elif method == "approx":
         hours = duration_hours(spec)

@@ -4,6 +4,8 @@ from curbside.plans.jobs import (
     BronzeError,
     BronzeRun,
     Lake,
+    LakeRun,
+    NoMartsError,
     SilverRun,
     bronze_all,
     bronze_source,
@@ -20,6 +22,8 @@ __all__ = [
     "BronzeError",
     "BronzeRun",
     "Lake",
+    "LakeRun",
+    "NoMartsError",
     "SilverRun",
     "bronze_all",
     "bronze_source",

@@ -6,8 +6,11 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from curbside.functions import in_month
 from curbside.operators import quality, reports
 from curbside.operators.conform import conform, strict_union
 from curbside.operators.marts import (
@@ -17,11 +20,18 @@ from curbside.operators.marts import (
     mart_schema,
     rollup_basis,
 )
-from curbside.sources import overwrite_table, preview, read_table, scan_landing
+from curbside.sources import is_stored, overwrite_table, preview, read_table, scan_landing
 from curbside.spec import DEFAULT_SPEC, TripSpec
 
 log = logging.getLogger(__name__)
 
+#: Second partition column of the cleaned table, as a whole number like 202305. Readers of
+#: the table do not see it.
+PICKUP_MONTH = "pickup_month"
+
+#: About what a file of the cleaned table should hold.
+FILE_BYTES = 128 << 20
+
 
 @dataclass(frozen=True)
 class Lake:
@@ -49,6 +59,10 @@ class Lake:
         return f"{self.root.rstrip('/')}/gold/{mart}"
 
 
+class NoMartsError(RuntimeError):
+    """Reports were asked for before any mart was stored."""
+
+
 class BronzeError(RuntimeError):
     """Some sources failed; `run` holds what was written for the others."""
 
@@ -115,9 +129,41 @@ def conformed(spark: SparkSession, lake: Lake) -> DataFrame:
     ])
 
 
-def read_silver(spark: SparkSession, lake: Lake) -> DataFrame:
-    """The cleaned table in contract order (its partition column is stored last)."""
-    return read_table(spark, lake.silver, lake.fmt).select(*lake.spec.contract)
+def _pickup_month(spec: TripSpec) -> Column:
+    return F.year(spec.pickup) * 100 + F.month(spec.pickup)
+
+
+def read_silver(spark: SparkSession, lake: Lake, month: int | None = None) -> DataFrame:
+    """The cleaned table in contract order (its partition columns are stored last).
+
+    With `month`, only the trips of this month of the year. Un-zoned times then prune by
+    partition, as no row group of theirs can be skipped. Zoned ones belong to another
+    month in another session zone, so they skip row groups by the range of `in_month`.
+    """
+    spec = lake.spec
+    table = read_table(spark, lake.silver, lake.fmt)
+    if month is not None:
+        if isinstance(table.schema[spec.pickup].dataType, T.TimestampNTZType):
+            table = table.filter(F.col(PICKUP_MONTH) % 100 == month)
+        table = table.filter(in_month(spec, month))
+    return table.select(*spec.contract)
+
+
+def split_for(width: int, kept: int, file_bytes: int = FILE_BYTES) -> int:
+    """Input per task for output files of about `file_bytes`, when of rows of `width`
+    bytes `kept` are written on."""
+    return file_bytes * max(width, kept) // kept
+
+
+def _silver_split(spark: SparkSession, lake: Lake) -> int:
+    # By the types' nominal widths; the widest source decides, its files being the smallest.
+    def width(schema: T.StructType) -> int:
+        sizes = {T.StringType: 20, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4}
+        return sum(sizes.get(type(column.dataType), 8) for column in schema)
+
+    stored = [read_table(spark, lake.bronze(s), lake.fmt).schema for s in lake.spec.sources]
+    # The source is a partition's name, not a stored column.
+    return split_for(max(map(width, stored)), width(lake.spec.contract_schema()) - 20)
 
 
 @dataclass(frozen=True)
@@ -148,20 +194,21 @@ def silver(spark: SparkSession, lake: Lake, **how) -> SilverRun:
 
     Two passes over the data: the quartiles (two timestamp columns), then filter and
     write. Both counts are footer-only. Rows stay in the task that read them, so
-    files keep the months they arrived in, which is what a month filter can skip by.
-    `how` goes to the fence (`method`, `accuracy`).
+    files keep the months they arrived in, and a task meets few partitions. A task reads
+    as much as makes a file of about `FILE_BYTES` of the columns that are kept. `how` goes to the fence (`method`, `accuracy`).
     """
     spec = lake.spec
     raw = conformed(spark, lake)
     fence = quality.iqr_fence(raw, spec, **how)
     log.info("duration fence: %.4f h (%.1f min)", fence, fence * 60)
     overwrite_table(
-        quality.clean(raw, fence, spec),
+        quality.clean(raw, fence, spec).withColumn(PICKUP_MONTH, _pickup_month(spec)),
         lake.silver,
         lake.fmt,
-        partition_by=[spec.source],
+        partition_by=[spec.source, PICKUP_MONTH],
         inputs=[lake.bronze(source) for source in spec.sources],
-        open_partitions=len(spec.sources),
+        open_partitions=len(spec.sources) * max(len(spec.landing_months), 1),
+        split_bytes=_silver_split(spark, lake),
     )
     stored = read_silver(spark, lake)
     run = SilverRun(
@@ -210,8 +257,11 @@ def gold(spark: SparkSession, lake: Lake, show: bool = False) -> dict[str, DataF
 
 
 def report(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
-    """Every report set, over the stored marts."""
+    """Every report set, over the stored marts. One that was not stored counts as empty;
+    `NoMartsError` if none was."""
     spec = lake.spec
+    if not any(is_stored(spark, lake.gold(name), lake.fmt) for name in MARTS):
+        raise NoMartsError(f"no mart below {lake.root}: run the gold job first")
     marts = {name: read_mart(spark, lake, name) for name in MARTS}
     by_type, peaks = marts["trips_by_taxi_type"], marts["top_hours_by_taxi_type"]
     return {
@@ -225,8 +275,15 @@ def report(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
     }
 
 
-def run_all(spark: SparkSession, lake: Lake, show: bool = False) -> dict[str, DataFrame]:
+@dataclass(frozen=True)
+class LakeRun:
+    """What each layer of a whole run reports, and the stored marts."""
+
+    bronze: BronzeRun
+    silver: SilverRun
+    marts: dict[str, DataFrame]
+
+
+def run_all(spark: SparkSession, lake: Lake, show: bool = False) -> LakeRun:
     """Raw layer, cleaned layer and marts in dependency order."""
-    bronze_all(spark, lake)
-    silver(spark, lake)
-    return gold(spark, lake, show)
+    return LakeRun(bronze_all(spark, lake), silver(spark, lake), gold(spark, lake, show))

@@ -3,12 +3,13 @@
 from curbside.sources.landing import LandingScan, NoLandedFilesError, scan_landing
 from curbside.sources.scratch import materialise, scratch_path
 from curbside.sources.sinks import overwrite_table
-from curbside.sources.tables import from_rows, preview, read_table
+from curbside.sources.tables import from_rows, is_stored, preview, read_table
 
 __all__ = [
     "LandingScan",
     "NoLandedFilesError",
     "from_rows",
+    "is_stored",
     "materialise",
     "overwrite_table",
     "preview",

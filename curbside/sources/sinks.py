@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+_SPLIT = "spark.sql.files.maxPartitionBytes"
 _TIMESTAMPS = "spark.sql.parquet.outputTimestampType"
 _WRITING = threading.RLock()
 
@@ -50,6 +51,7 @@ def overwrite_table(
     partition_by: Sequence[str] = (),
     inputs: Iterable[str] = (),
     open_partitions: int = 0,
+    split_bytes: int | None = None,
 ) -> None:
     """Replace the table at `path` with `df`.
 
@@ -57,9 +59,9 @@ def overwrite_table(
     lay out partitions. A task keeps up to `open_partitions` partition files open at
     once and only sorts its rows by partition if it meets more (with 0 it always
     sorts). Zoned timestamps are stored as 64-bit microseconds, which have the
-    statistics that range filters prune by; Spark's default INT96 has none. `inputs` are
-    the paths `df` reads, checked before the old table is
-    touched. The overwrite is always of the whole table, also in a session set to
+    statistics that range filters prune by; Spark's default INT96 has none. `split_bytes` is
+    how much of the files it reads a task gets at most (the session's setting, if not
+    given). `inputs` are the paths `df` reads, checked before the old table is touched. The overwrite is always of the whole table, also in a session set to
     replace only the partitions it touches. It is as atomic as the table format makes
     it: plain Parquet is not.
     """
@@ -69,5 +71,8 @@ def overwrite_table(
         writer = writer.partitionBy(*partition_by)
     spark = df.sparkSession
     open_files = max(open_partitions, int(spark.conf.get(_OPEN_FILES)))
-    with _settings(spark, {_OPEN_FILES: str(open_files), _TIMESTAMPS: "TIMESTAMP_MICROS"}):
+    settings = {_OPEN_FILES: str(open_files), _TIMESTAMPS: "TIMESTAMP_MICROS"}
+    if split_bytes is not None:
+        settings[_SPLIT] = str(split_bytes)
+    with _settings(spark, settings):
         writer.save(path)

@@ -33,6 +33,17 @@ def read_table(
         raise
 
 
+def is_stored(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """Whether there is a table at `path`."""
+    try:
+        read_table(spark, path, fmt)
+    except AnalysisException as error:
+        if error.getCondition() in _NO_TABLE:
+            return False
+        raise
+    return True
+
+
 def from_rows(
     spark: SparkSession,
     rows: Iterable[tuple],

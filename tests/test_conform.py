@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from rows import frame, trip
 
 from curbside.operators.conform import (
+    ContractTypeError,
     MixedTimestampsError,
     conform,
     drift_union,
@@ -42,6 +43,44 @@ def test_missing_contract_column(spark):
         conform(frame(spark, [trip()]).drop("passenger_count"), "yellow")
 
 
+@pytest.mark.parametrize(
+    ("column", "kind"),
+    [
+        ("VendorID", "int"),
+        ("VendorID", "smallint"),
+        ("passenger_count", "bigint"),
+        ("passenger_count", "float"),
+        ("total_amount", "int"),
+    ],
+)
+def test_narrower_numbers_widen(spark, column, kind):
+    df = frame(spark, [trip(amount=15.0)])
+    out = conform(df.withColumn(column, F.col(column).cast(kind)), "yellow")
+    assert [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    assert out.columns == DEFAULT_SPEC.contract and out.collect() == df.collect()
+
+
+@pytest.mark.parametrize(
+    ("column", "kind"),
+    [
+        ("VendorID", "string"),
+        ("VendorID", "double"),
+        ("passenger_count", "string"),
+        ("total_amount", "decimal(10,2)"),
+        ("tpep_pickup_datetime", "date"),
+    ],
+)
+def test_other_types_are_refused(spark, column, kind):
+    df = frame(spark, [trip()])
+    with pytest.raises(ContractTypeError, match=f"green: {column} is "):
+        conform(df.withColumn(column, F.col(column).cast(kind)), "green")
+
+
+def test_time_flavour_is_kept(spark):
+    plain = frame(spark, [trip()], timestamp=T.TimestampNTZType())
+    assert conform(plain, "yellow").schema == plain.schema
+
+
 def test_tag(spark):
     df = tag_source(frame(spark, [trip(source=None)]), "green")
     assert df.first().taxi_type == "green"

@@ -1,9 +1,9 @@
 """Quartiles and the duration fence."""
 
 import math
-from decimal import Decimal
 import random
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -62,6 +62,44 @@ def test_quantiles_equal_brute_force(spark, name):
     assert got == {key: observed(values, p) for key, p in PROBS.items()}
 
 
+@pytest.mark.parametrize(("bits", "level_bits"), [(64, 23), (64, 16), (46, 23), (31, 8), (8, 8)])
+def test_levels_do_not_change_the_result(spark, bits, level_bits):
+    values = VALUES["both signs, log spread"]
+    df = spark.createDataFrame([(v,) for v in values], "x bigint")
+    got = discrete_quantiles(df, F.col("x"), PROBS, bits, level_bits).first().asDict()
+    assert got == {key: observed(values, p) for key, p in PROBS.items()}
+
+
+def _ordered_rows(df):
+    """Rows that reached each window of an executed plan."""
+    todo, rows = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "WindowExec":
+            stage = node
+            while not stage.getClass().getSimpleName().startswith("ShuffleQueryStage"):
+                stage = stage.children().apply(0)
+            rows.append(stage.getRuntimeStatistics().rowCount().get())
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_clustered_values_are_not_ordered_in_one_task(spark):
+    """200,000 epoch seconds in a row: no window orders all of them."""
+    start = 1_700_000_000
+    df = discrete_quantiles(
+        spark.range(start, start + 200_000), F.col("id"), {"a": 0.25, "b": 0.75}, 46, 12
+    )
+    assert tuple(df.collect()[0]) == (start + 49_999, start + 149_999)
+    ordered = _ordered_rows(df)
+    assert len(ordered) >= 4 and max(ordered) <= 2 * 2**12
+
+
 @settings(max_examples=8, deadline=None, derandomize=True)
 @given(st.lists(st.integers(-(2**63) + 1, 2**63 - 1) | st.integers(-50, 50), min_size=1))
 def test_quantiles_of_any_numbers(spark, values):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rows import frame, trip
 
 from curbside.__main__ import main
+from curbside.operators.conform import ContractTypeError
 from curbside.operators.marts import MARTS
 from curbside.plans import jobs
 from curbside.sources import NoLandedFilesError
@@ -44,7 +45,7 @@ def test_cleaned_layer(spark, lake):
     assert sum(r[1] for r in _rows(run.by_month)) == 5328
     stored = jobs.read_silver(spark, lake)
     assert stored.columns == EVENTS.contract
-    folders = {path.split("/")[-2] for path in stored.inputFiles()}
+    folders = {path.split("/")[-3] for path in stored.inputFiles()}
     assert folders == {"taxi_type=green", "taxi_type=yellow"}
 
 
@@ -81,7 +82,54 @@ def test_reports(spark, lake):
 
 def test_reports_before_any_run(spark, tmp_path):
     lake = jobs.Lake(root=str(tmp_path), landing="")
-    assert all(df.count() == 0 for df in jobs.report(spark, lake).values())
+    with pytest.raises(jobs.NoMartsError, match="gold"):
+        jobs.report(spark, lake)
+
+
+def test_a_mart_that_was_not_stored_counts_as_empty(spark, lake, tmp_path):
+    other = replace(lake, root=str(tmp_path))
+    stored = jobs.read_mart(spark, lake, "trips_by_taxi_type")
+    stored.write.parquet(other.gold("trips_by_taxi_type"))
+    sets = jobs.report(spark, other)
+    assert sets["month_table"].count() == 0 and sets["kpis"].count() == 2
+
+
+def test_small_input_splits_do_not_make_small_files(spark, lake, tmp_path, conf):
+    """400 input files and splits of 8 KB: the job cuts its input by the size of what it
+    writes, and loses no row."""
+    other = replace(lake, root=str(tmp_path))
+    for source in EVENTS.sources:
+        raw = spark.read.parquet(lake.bronze(source))
+        raw.repartition(200).write.parquet(other.bronze(source))
+    conf("spark.sql.files.maxPartitionBytes", "8k")
+    conf("spark.sql.files.openCostInBytes", "1")
+    run = jobs.silver(spark, other)
+    assert run.clean_rows == 5328
+    tasks = spark.sparkContext.defaultParallelism + 1
+    months = len(EVENTS.landing_months)
+    assert len(jobs.read_silver(spark, other).inputFiles()) <= 2 * tasks * months
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "8k"
+
+
+def test_split_follows_the_columns_kept():
+    assert jobs.split_for(160, 40, 128 << 20) == 512 << 20
+    assert jobs.split_for(40, 40, 100) == jobs.split_for(10, 40, 100) == 100
+
+
+def test_text_in_a_number_column_leaves_the_cleaned_table_alone(spark, lake, tmp_path):
+    other = replace(lake, root=str(tmp_path))
+    for source in EVENTS.sources:
+        spark.read.parquet(lake.bronze(source)).write.parquet(other.bronze(source))
+    jobs.silver(spark, other)
+    before = jobs.read_silver(spark, other).inputFiles()
+    raw = spark.read.parquet(lake.bronze("green"))
+    column = EVENTS.passengers
+    raw.withColumn(column, F.col(column).cast("string")).write.mode("overwrite").parquet(
+        other.bronze("green")
+    )
+    with pytest.raises(ContractTypeError, match=f"green: {column} is string"):
+        jobs.silver(spark, other)
+    assert jobs.read_silver(spark, other).inputFiles() == before
 
 
 def test_a_failing_source_does_not_stop_the_others(spark, tmp_path):
@@ -122,7 +170,8 @@ def test_command_line(spark, tmp_path, capsys, caplog):
         for job in ("bronze", "silver", "gold", "report", "all"):
             main([job, *where])
     shown = capsys.readouterr().out
-    assert "TOTAL" in shown and "Mês" in shown and "yellow_total_corridas" in shown
+    assert shown.count("TOTAL") == 2  # `bronze` and `all`
+    assert "Mês" in shown and "yellow_total_corridas" in shown
     lake = jobs.Lake(root=where[1], landing=where[3])
     assert _rows(jobs.read_mart(spark, lake, "avg_total_by_month")) == [(1, 15.5, 3), (5, 15.5, 3)]
 
@@ -150,6 +199,8 @@ def test_command_line_needs_a_landing_folder():
 
 def test_all_is_in_dependency_order(spark, lake, tmp_path):
     other = replace(lake, root=str(tmp_path))
-    assert _rows(jobs.run_all(spark, other)["avg_total_by_month"]) == _rows(
+    run = jobs.run_all(spark, other)
+    assert run.bronze.total == run.silver.raw_rows == 10000
+    assert _rows(run.marts["avg_total_by_month"]) == _rows(
         jobs.read_mart(spark, lake, "avg_total_by_month")
     )

@@ -89,20 +89,35 @@ def test_one_month_of_several_years_reaches_the_scan(spark, lake):
         assert f"GreaterThanOrEqual(tpep_pickup_datetime,{year}-05-01" in pushed
 
 
-def test_one_month_skips_the_others(spark, tmp_path):
-    """Zoned timestamps, one file per month: only May is decoded."""
+@pytest.mark.parametrize("flavour", [T.TimestampType(), T.TimestampNTZType()], ids=str)
+def test_one_month_skips_the_others(spark, tmp_path, flavour):
+    """Only May is decoded: zoned times by row group, un-zoned ones by partition."""
     lake = jobs.Lake(root=str(tmp_path), landing="")
     months = [trip(pickup=datetime(2023, m, d), minutes=10 + d) for m in range(1, 6) for d in (1, 2)]
     for source in DEFAULT_SPEC.sources:
-        df = frame(spark, [(*row[:5], source) for row in months], timestamp=T.TimestampType())
+        df = frame(spark, [(*row[:5], source) for row in months], timestamp=flavour)
         by_month = df.repartitionByRange(5, "tpep_pickup_datetime")
         overwrite_table(by_month, lake.bronze(source))
     jobs.silver(spark, lake)
-    df = marts.avg_passengers_by_hour(jobs.read_silver(spark, lake))
+    df = marts.avg_passengers_by_hour(jobs.read_silver(spark, lake, month=5))
     assert [tuple(r) for r in df.collect()] == [(0, 2.0, 4)]
     assert _scanned_rows(df) == 4
 
 
+def test_month_partition_does_not_tie_zoned_times_to_a_zone(spark, tmp_path, conf):
+    """Stored in one zone, read in another, where some trips are of the month before."""
+    conf("spark.sql.session.timeZone", "UTC")
+    lake = jobs.Lake(root=str(tmp_path), landing="")
+    pickups = [datetime(2023, 5, 1, 2), datetime(2023, 5, 1, 9), datetime(2023, 4, 20, 9)]
+    for source in DEFAULT_SPEC.sources:
+        rows = [trip(pickup=p, source=source) for p in pickups]
+        overwrite_table(frame(spark, rows, timestamp=T.TimestampType()), lake.bronze(source))
+    jobs.silver(spark, lake)
+    conf("spark.sql.session.timeZone", "America/New_York")
+    assert jobs.read_silver(spark, lake, month=4).count() == 4
+    assert jobs.read_silver(spark, lake, month=5).count() == 2
+
+
 def _scanned_rows(df):
     todo, rows = [df._jdf.queryExecution().executedPlan()], 0
     while todo:
