@@ -221,11 +221,12 @@ def near_duplicates(
         "sketches",
     )
     some = sketches.filter("n > 0")
+    same = ["fp1", "fp2", "n"]
+    # A table of its own, so that both sides of the join are plain shuffles: adaptive
+    # execution then splits a class that holds a large part of the rows.
+    firsts = materialise(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), "firsts")
     classes = materialise(
-        some.join(
-            some.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")), ["fp1", "fp2", "n"]
-        ).select("doc_id", "n", "rep", "half"),
-        "classes",
+        some.join(firsts, same).select("doc_id", "n", "rep", "half"), "classes"
     )
     reps = classes.filter("doc_id = rep")
     # Ids that several texts share tie the texts' classes together.
