@@ -26,7 +26,7 @@ REACH = 40
 LEAST = 0.5
 
 _RUN = r"(?:\G|(?<![{0}]))"
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: In the order in which spans of one start are listed. The last two are the method's own.
 PATTERNS = {
     "email": _RUN.format(r"A-Za-z0-9._%+-")

@@ -249,6 +249,18 @@ def test_base_spans(docs, spark):
     assert all(r.s == base_by_hand(r.text) for r in found)
 
 
+@pytest.mark.parametrize("part", ["0", "00", "000", "007", "0255", "0256", "10", "100", "0" * 50])
+def test_addresses_with_zeros(spark, part):
+    texts = [f"{part}.0.0.1", f"10.{part}.0.1 and", f"at 192.168.{part}.7", f"1.2.3.{part}",
+             ".".join([part] * 4), "0.0.0.0", "10.0.0.1 127.0.0.1"]
+    found = pii.find_personal_data(documents(spark, enumerate(texts))).collect()
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "ip"] for r in found}
+    assert spans == {i: [
+        m.span() for m in re.finditer(BASE["ip"], t) if valid("ip", m.group())
+    ] for i, t in enumerate(texts)}
+    assert spans[5] and len(spans[6]) == 2
+
+
 def test_added_spans_and_scores(spark):
     rows = [(1, "iban DE89 3704 0044 0532 0130 00"), (2, "DE88 3704 0044 0532 0130 00"),
             (3, "ssn 078-05-1120"), (4, "part 078-05-1120"), (5, "my e-mail: q@r.st")]
