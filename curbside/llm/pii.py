@@ -34,7 +34,8 @@ PATTERNS = {
     "ip": _RUN.format("0-9") + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # A number's head; the group looks ahead at the longest it can be. See _ibans.
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 WORDS = {
@@ -45,9 +46,20 @@ WORDS = {
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social|security",
 }
+#: Characters of each country's IBANs.
+_IBAN_LENGTHS = {
+    country: int(length) for length, countries in (line.split(":") for line in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK",
+        "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL",
+        "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM",
+        "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC",
+        "32:LC", "33:RU",
+    )) for country in countries.split()
+}
 #: A character no assigned text uses, to mark matches with; texts that do have it take
 #: two passes instead.
 _MARK = "﷐"
+_SPANS = "array<struct<start:int,place:int,end:int,kind:string,score:double>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -62,8 +74,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _mod_97(code: Column) -> Column:
-    plain = F.replace(code, F.lit(" "), F.lit(""))
-    moved = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
+    moved = F.concat(F.substring(code, 5, 40), F.substring(code, 1, 4))
 
     def step(rest, c):
         point = F.ascii(c)
@@ -82,8 +93,6 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(14, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    if kind == "iban":
-        return _mod_97(match)
     return F.lit(True)
 
 
@@ -97,28 +106,89 @@ def _parts(kind: str) -> Column:
     return F.when(F.instr(text, _MARK) == 0, marked).otherwise(slow)
 
 
+def _iban_heads() -> Column:
+    """Start of each head, and the words from there on that its number can reach into."""
+    parts, at = F.col("iban_parts"), F.col("iban_at")
+    tails = F.regexp_extract_all("text", F.lit(PATTERNS["iban"]), F.lit(1))
+    return F.when(F.size(parts) > 2, F.transform(tails, lambda tail, i: F.struct(
+        F.get(at, 2 * i + 1).alias("start"),
+        F.split(F.concat(F.get(parts, 2 * i + 1), tail), " ").alias("words"),
+    )))
+
+
+def _iban_size(words: Column) -> Column:
+    """Characters of the number that `words` begin with, null for none: one that mod-97
+    confirms and that ends with a word, of the country's length or else the longest."""
+    lengths = F.create_map(*(F.lit(x) for pair in _IBAN_LENGTHS.items() for x in pair))
+
+    def code(n):
+        return F.array_join(F.slice(words, 1, n), "")
+
+    def confirmed(n):
+        return F.length(code(n)).between(15, 34) & code(n).rlike("^[A-Z0-9]+$") & _mod_97(code(n))
+
+    def own(n):
+        return F.length(code(n)) == F.try_element_at(lengths, F.substring(code(n), 1, 2))
+
+    numbers = F.filter(F.sequence(F.lit(1), F.size(words)), confirmed)
+    best = F.coalesce(F.array_max(F.filter(numbers, own)), F.array_max(numbers))
+    return F.length(F.array_join(F.slice(words, 1, best), " "))
+
+
+def _ibans() -> Column:
+    """Start and end of each number, from the first on; heads inside one are its own."""
+    sized = F.transform("iban_heads", lambda h: F.struct(
+        h["start"].alias("start"), (h["start"] + _iban_size(h["words"])).alias("end")
+    ))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(done, s):
+        last = F.get(done, F.size(done) - 1)["end"]
+        return F.when(s["start"] < last, done).otherwise(F.array_append(done, s))
+
+    return F.aggregate(F.filter(sized, lambda s: s["end"].isNotNull()), none, step)
+
+
+def _iban_spans() -> Column:
+    found, text = F.col("iban_found"), F.col("text")
+
+    def span(s, i):
+        floor = F.greatest(F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), s["start"] - REACH)
+        limit = F.coalesce(F.get(found, i + 1)["start"], F.length(text))
+        before = F.substring(text, floor + 1, s["start"] - floor)
+        after = F.substring(text, s["end"] + 1, F.least(limit - s["end"], F.lit(REACH)))
+        return _span("iban", s["start"], s["end"], F.concat_ws(" ", before, after))
+
+    return F.coalesce(F.transform(found, span), F.array().cast(_SPANS))
+
+
+def _span(kind: str, start: Column, end: Column, near: Column) -> Column:
+    words = rf"(?i)\b(?:{WORDS[kind]})\b"
+    score = F.lit(SCORES[kind]) + F.when(near.rlike(words), NEARBY).otherwise(0.0)
+    return F.struct(
+        start.alias("start"),
+        F.lit(list(PATTERNS).index(kind)).alias("place"),
+        end.alias("end"),
+        F.lit(kind).alias("kind"),
+        F.least(F.round(score, 2), F.lit(1.0)).alias("score"),
+    )
+
+
 def _spans(kind: str) -> Column:
+    if kind == "iban":
+        return _iban_spans()
     parts, at = F.col(f"{kind}_parts"), F.col(f"{kind}_at")
-    words = rf"(?i)\b(?:{WORDS[kind]})\b"
 
     def span(i):
         near = F.concat_ws(
             " ", F.right(F.get(parts, i - 1), F.lit(REACH)), F.left(F.get(parts, i + 1), F.lit(REACH))
         )
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(words), NEARBY).otherwise(0.0)
-        return F.struct(
-            F.get(at, i).alias("start"),
-            F.lit(list(PATTERNS).index(kind)).alias("place"),
-            (F.get(at, i) + F.length(F.get(parts, i))).alias("end"),
-            F.lit(kind).alias("kind"),
-            F.least(F.round(score, 2), F.lit(1.0)).alias("score"),
-        )
+        return _span(kind, F.get(at, i), F.get(at, i) + F.length(F.get(parts, i)), near)
 
     odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
     real = F.filter(odd, lambda i: (F.get(parts, i) != "") & _confirmed(kind, F.get(parts, i)))
     found = F.filter(F.transform(real, span), lambda s: s["score"] >= LEAST)
-    none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string,score:double>>")
-    return F.when(F.size(parts) > 2, found).otherwise(none)
+    return F.when(F.size(parts) > 2, found).otherwise(F.array().cast(_SPANS))
 
 
 def _places(parts: Column) -> Column:
@@ -152,6 +222,7 @@ def with_spans(rows: DataFrame) -> DataFrame:
         f"{kind}_at": F.when(F.size(f"{kind}_parts") > 2, _places(F.col(f"{kind}_parts")))
         for kind in PATTERNS
     })
+    rows = rows.withColumn("iban_heads", _iban_heads()).withColumn("iban_found", _ibans())
     found = F.sort_array(F.concat(*(_spans(kind) for kind in PATTERNS)))
     return rows.select(*kept, F.transform(found, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),

@@ -270,6 +270,27 @@ def test_added_spans_and_scores(spark):
     assert found[5][0].score == 1.0
 
 
+IBAN = "DE89370400440532013000"
+SPACED_IBAN = "DE89 3704 0044 0532 0130 00"
+
+
+@pytest.mark.parametrize("text", [
+    f"IBAN [{IBAN}] Please pay", f"[{IBAN}] 5 days", f"[{SPACED_IBAN}] I paid",
+    f"[{SPACED_IBAN}] PLEASE PAY 100 EUR TO ME NOW", f"[{IBAN}], then", f"[{IBAN}]é", f"{IBAN}x",
+    f"{IBAN}0", f"x{IBAN}", f"[{IBAN}] [GB29 NWBK 6016 1331 9268 19] [NO9386011117947] X",
+    f"AB12 [{SPACED_IBAN}]", f"AB12 CD34 EF56 GH78 [{IBAN}] Z", "[MT84MALT011000012345MTLCAST001S] OK",
+    f"😀 [{IBAN}] ﷐ [{SPACED_IBAN}] A", "[LC55 HEMM 0001 0001 0012 0012 0002 3015] NOW 1 2 3",
+    " ".join(f"[{IBAN}] {n}" for n in range(100)),
+])
+def test_account_numbers_before_other_text(spark, text):
+    plain = text.replace("[", "").replace("]", "")
+    want = [(m.start() - 2 * i, m.end() - 2 * i - 2) for i, m in enumerate(re.finditer(r"\[.*?\]", text))]
+    rows = documents(spark, [(1, plain)])
+    found = pii.find_personal_data(rows).first().spans
+    assert [(s.start, s.end) for s in found if s.kind == "iban"] == want
+    assert (pii.redact(rows).first().text.count("[IBAN]") > 0) == bool(want)
+
+
 def test_redaction(spark, no_documents):
     rows = [(1, "call +1 (988) 555-2485 or a@b.co."), (2, None), (3, "nothing"), (4, "")]
     cut = pii.redact(documents(spark, rows))
