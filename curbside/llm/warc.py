@@ -14,12 +14,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,6 +37,8 @@ PACKAGE = 64 << 20
 _DATA, _INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Characters that end a field or, for some readers, a line of the index.
+_BREAKS = re.compile("[\\x00-\\x20\\x7f-\\x9f\\u2028\\u2029]")
 _NO_ID = "urn:uuid:" + "f" * 8 + "-0000-0000-0000-" + "f" * 12
 
 # ---------------------------------------------------------------- records
@@ -102,12 +105,18 @@ def parse(data: bytes) -> dict:
 
 
 def url_key(url: str) -> str:
-    """The host's labels from the last to the first, then path and query."""
-    parts = urlsplit(url)
-    host = (parts.hostname or "").removeprefix("www.")
-    query = f"?{parts.query}" if parts.query else ""
-    key = f"{','.join(reversed(host.split('.')))}){(parts.path or '/')}{query}"
-    return key.lower().replace(" ", "%20")
+    """The host's labels from the last to the first, then path and query; the URL itself
+    if it can't be taken apart. Blanks, control characters and line separators are
+    percent-encoded."""
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        key = url
+    else:
+        host = (parts.hostname or "").removeprefix("www.")
+        query = f"?{parts.query}" if parts.query else ""
+        key = f"{','.join(reversed(host.split('.')))}){(parts.path or '/')}{query}"
+    return _BREAKS.sub(lambda c: quote(c[0]), key).lower()
 
 
 # ---------------------------------------------------------------- packages
@@ -219,7 +228,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 members = directory(stream)
                 base, _ = members[_DATA]
                 start, size = members[_INDEX]
-                lines = stream.read_at(size, start).decode().splitlines()
+                lines = stream.read_at(size, start).decode().split("\n")[:-1]
             keys, places = [], []
             for line in lines:
                 key, _, place = line.split(" ", 2)

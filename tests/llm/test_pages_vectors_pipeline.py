@@ -76,6 +76,28 @@ def test_other_tools_read_the_packages(spark, odd_pages):
         assert lines == sorted(lines) and len(lines) == odd_pages.count()
 
 
+def test_odd_urls_lose_no_page(spark):
+    breaks = [chr(c) for c in (*range(32), 0x7F, 0x85, 0xA0, 0x2028, 0x2029, 0x3000) if c not in (10, 13)]
+    urls = ["http://[bad/x", "http://[bad/\u2028 y", "http://bad]/x", "http://[::1]/x", "http://a\u2100b.c/x",
+            "http://[", "http://a:port/x", "//", "?", "\ud7ff", "http://a.b/c?d e\x85f"]
+    urls += [f"http://a.b/{c}x{c}" for c in breaks] + [f"http://[bad{c}" for c in breaks]
+    pages = spark.createDataFrame(
+        [(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    packages = warc.write_archives(pages.coalesce(1), scratch_path(spark, "a"))
+    index = warc.read_index(packages)
+    found = warc.read_records(index).collect()
+    assert {r.page_id: (r.url, r.payload.decode()) for r in found} == {
+        i: (u, f"page {i}") for i, u in enumerate(urls)}
+    assert len(found) == len(urls)
+    one = index.filter(F.col("url_key") == "http://[bad/x")
+    assert [r.page_id for r in warc.read_records(one).collect()] == [0]
+    path = packages.first().path.removeprefix("file:")
+    with zipfile.ZipFile("/" + path.lstrip("/")) as z:
+        lines = z.read("indexes/index.cdxj").decode().splitlines()
+    assert len(lines) == len(urls) and all(x.split(" ", 2)[2].startswith("{") for x in lines)
+    assert warc.url_key("http://a.b/\u2028x y\x85") == "b,a)/%e2%80%a8x%20y%c2%85"
+
+
 def test_no_pages(spark, odd_pages):
     packages = warc.write_archives(odd_pages.limit(0), scratch_path(spark, "a"))
     assert warc.read_records(warc.read_index(packages)).count() == 0
