@@ -27,7 +27,7 @@ def op1_tokens(
     spark: SparkSession, sf_dir: str, tokenizer: str = corpus_pipeline.vocabulary("byte_bpe_50k.json")
 ) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    tokens.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer, end=0)
+    tokens.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer, end=0, special=True)
     return tokens.checksums(tokens.read_tokens(spark, path, "tokens"))
 
 

@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +80,20 @@ class Encoder:
     """Whole-text encoding by a tokenizers file.
 
     With a plain byte-level pre-tokenizer equal pieces of text have equal ids, so a worker
-    encodes each piece once and remembers it. Other tokenizers get whole texts.
+    encodes each piece once and remembers it. Other tokenizers get whole texts, and so does
+    any for texts that spell an added token. Unless `special`, special tokens are only text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         spec = json.loads(self.tokenizer.to_str())
+        self.added = [
+            t["content"] for t in spec.get("added_tokens") or [] if special or not t["special"]
+        ]
         splits = spec["pre_tokenizer"] or {}
         self.by_piece = (
             spec["normalizer"] is None
@@ -114,6 +119,19 @@ class Encoder:
         if not self.by_piece:
             ids, lengths = self._ids([text or "" for text in texts.to_pylist()])
             return ids, np.append(0, np.cumsum(lengths))
+        spelled = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            spelled |= np.asarray(pc.match_substring(texts, token).fill_null(False))
+        if not spelled.any():
+            return self._by_piece(texts)
+        ids, limits = self._by_piece(pc.if_else(pa.array(spelled), "", texts))
+        whole, sizes = self._ids(texts.filter(pa.array(spelled)).to_pylist())
+        lengths = np.diff(limits)
+        lengths[spelled] = sizes
+        ids = np.insert(ids, np.repeat(limits[:-1][spelled], sizes), whole)
+        return ids, np.append(0, np.cumsum(lengths))
+
+    def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, limits = tb.text_bytes(texts)
         start = pieces(data, limits)
         end = np.append(start[1:], len(data))[: len(start)]
@@ -132,13 +150,13 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, special: bool) -> Encoder:
+    return Encoder(path, special)
 
 
-def _encode(path: str, end: int | None):
+def _encode(path: str, end: int | None, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, place = _encoder(path), 0
+        encode, place = _encoder(path, special), 0
         for block in tb.blocks(batches):
             ids, limits = encode(block.column("text"))
             if end is not None:
@@ -162,6 +180,7 @@ def write_tokens(
     end: int | None = 0,
     key: str = "doc_id",
     text: str = "text",
+    special: bool = False,
 ) -> None:
     """Encode every whole text and write doc_id, part, place, n_tokens, tokens to `path`.
 
@@ -169,6 +188,8 @@ def write_tokens(
     `part` numbers the stretches of that order, `place` counts the tokens before the
     row in its part. `end` is appended to each document. Null and empty texts have the
     end id only. Rows repeating an id are all written. Other columns are not read.
+    With `special`, a special token that a text spells gets its one id, as by the library's
+    own encode; without, as a safeguard, it is text like any other.
     """
     base = documents(docs, key, text)
     n = parts(base)
@@ -176,7 +197,7 @@ def write_tokens(
         base.repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(
-            _encode(tokenizer, end),
+            _encode(tokenizer, end, special),
             "doc_id bigint, place bigint, n_tokens bigint, tokens array<int>",
         )
         .select("doc_id", F.spark_partition_id().alias("part"), "place", "n_tokens", "tokens")

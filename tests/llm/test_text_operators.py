@@ -326,6 +326,24 @@ def test_token_files(docs, vocabulary, tmp_path):
     }
 
 
+def test_token_query_encodes_as_the_library_does(spark, vocabulary, tmp_path):
+    """Texts that spell a special token, next to others and to blanks."""
+    from tokenizers import Tokenizer
+
+    from curbside.llm import queries
+
+    plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = [*ODD, " <|endoftext|>", "<|endoftext|>", "a <|endoftext|>  b", "x<|endoftext|>'s  y",
+             "<|endoftext|>" * 3, "<|endoftext|", "a\n <|endoftext|>\n b", "after", None, "é<|endoftext|>😀"]
+    documents(spark, enumerate(texts)).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = queries.op1_tokens(spark, f"file://{tmp_path}").orderBy("doc_id").collect()
+    ids = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert sum(50256 in x for x in ids) == 8
+    starts = np.cumsum([0, *map(len, ids)])
+    assert [tuple(r) for r in found] == [
+        (i, starts[i], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+
+
 def test_token_files_are_laid_out_for_selective_reads(table, vocabulary, tmp_path):
     import glob
 
