@@ -115,9 +115,12 @@ class Pieces:
         found = (self.keys[at] == keys) & (left >= 0) & (right >= 0)
         return np.where(found, self.ranks[at], _NEVER), self.merged[at]
 
-    def matrix(self, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(
+        self, symbols: np.ndarray, skips: np.ndarray, more=None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Segment rows of symbols (-1 behind the last). Bit k % 32 of a row's `skips`
-        skips the k-th candidate. Returns the rows merged and the candidates seen."""
+        skips the k-th candidate; past each 32, `more(rows, k // 32)` has the next ones.
+        Returns the rows merged and the candidates seen."""
         rows, width = symbols.shape
         symbols = np.hstack([symbols, np.full((rows, 1), -1, dtype=np.int64)])
         rank = np.full((rows, width + 1), _NEVER)
@@ -125,12 +128,16 @@ class Pieces:
         rank[:, :width], to[:, :width] = self.pair(symbols[:, :-1], symbols[:, 1:])
         seen = np.zeros(rows, dtype=np.int64)
         active, columns = np.arange(rows), np.arange(width + 1)
+        skips = skips.copy()
         while len(active):
             at = rank[active].argmin(axis=1)
             open_ = rank[active, at] < _NEVER
             active, at = active[open_], at[open_]
             skip = (skips[active] >> (seen[active] & 31)) & 1 == 1
             seen[active] += 1
+            full = active[seen[active] & 31 == 0]
+            if more and len(full):
+                skips[full] = more(full, seen[full] >> 5)
             rank[active[skip], at[skip]] = _NEVER
             some, at = active[~skip], at[~skip]
             if not len(some):
@@ -148,7 +155,7 @@ class Pieces:
             rank[some, at], to[some, at] = self.pair(symbols[some, at], new)
         return symbols[:, :width], seen
 
-    def heap(self, symbols: list[int], skips: int) -> tuple[list[int], int]:
+    def heap(self, symbols: list[int], skips: int, more=None) -> tuple[list[int], int]:
         """The same for one long word."""
         n, seen = len(symbols), 0
         symbols, after = list(symbols), list(range(1, n + 1))
@@ -173,6 +180,8 @@ class Pieces:
                 continue
             skip = skips >> (seen & 31) & 1
             seen += 1
+            if more and seen & 31 == 0:
+                skips = more(seen >> 5)
             if skip:
                 skipped.add((i, after[i], left, right))
                 continue
@@ -186,7 +195,8 @@ class Pieces:
         return [s for s in symbols if s >= 0], seen
 
     def segment(
-        self, chars: np.ndarray, start: np.ndarray, end: np.ndarray, skips: np.ndarray, string
+        self, chars: np.ndarray, start: np.ndarray, end: np.ndarray, skips: np.ndarray, string,
+        more=None,
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lengths, ids and candidates seen of the words `chars[start:end]` (piece ids).
         Words that hold other characters come from `string(i)`, as long ones do."""
@@ -209,13 +219,18 @@ class Pieces:
                 table = np.where(
                     at < end[part][:, None], chars[np.minimum(at, len(chars) - 1)], -1
                 )
-                table, out_seen[part] = self.matrix(table, skips[part])
+                table, out_seen[part] = self.matrix(
+                    table, skips[part], more and (lambda rows, k, part=part: more(part[rows], k))
+                )
                 real = table >= 0
                 out_length[part] = real.sum(axis=1)
                 order.append(part)
                 flat.append(table[real])
         for i in np.flatnonzero(~simple).tolist():
-            ids, out_seen[i] = self.heap(self.symbols(string(i)), int(skips[i]))
+            ids, out_seen[i] = self.heap(
+                self.symbols(string(i)), int(skips[i]),
+                more and (lambda k, i=i: int(more(np.array([i]), np.array([k]))[0])),
+            )
             out_length[i] = len(ids)
             order.append(np.array([i]))
             flat.append(np.array(ids, dtype=np.int64))
@@ -257,6 +272,14 @@ def _skips(keys: np.ndarray, drop: float) -> np.ndarray:
     return out
 
 
+def _more_skips(keys: np.ndarray, drop: float):
+    """For rows of `keys`, the bits of their candidates from 32 * k on, k > 0."""
+    def more(rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return _skips(tb.mix(keys[rows] ^ tb.mix(k.astype(np.uint64))), drop)
+
+    return more
+
+
 def encode_block(
     model: Pieces, texts: pa.Array, rows: np.ndarray, seed: int, drop: float, variants: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +304,7 @@ def encode_block(
     char = np.cumsum((data & 0xC0) != 0x80)
     char_at = np.append(char - 1, len(points))  # of each byte that begins one
 
-    def run(words: np.ndarray, skips: np.ndarray):
+    def run(words: np.ndarray, skips: np.ndarray, more=None):
         def string(i: int) -> str:
             w = words[i]
             return (" " if lead[w] else "") + raw[start[w] : end[w]].decode()
@@ -293,11 +316,13 @@ def encode_block(
             extra = len(chars)
             a = np.where(own, extra, a)
             b = np.where(own, extra + 1, b)
-            return model.segment(np.append(chars, -2), a, b, skips, string)
-        return model.segment(chars, a, b, skips, string)
+            return model.segment(np.append(chars, -2), a, b, skips, string, more)
+        return model.segment(chars, a, b, skips, string, more)
 
     memo = model.memo
     memo.trim()
+    if memo.used > 16 * REMEMBERED:  # long words, which seldom come again
+        memo.clear()
     kinds, sample, kind = np.unique(hashes, return_index=True, return_inverse=True)
     new = memo.missing(kinds)
     memo.add(kinds[new], *run(sample[new], np.zeros(len(new), dtype=np.int64)))
@@ -306,14 +331,17 @@ def encode_block(
         seen = memo.extra[places]
         place = np.arange(len(start)) - np.repeat(first[:-1], n)
         draw = tb.mix(np.repeat(rows.view(np.uint64), n) + np.uint64(seed & 0xFFFFFFFF))
-        draw = tb.mix(draw + place.astype(np.uint64)) % np.uint64(variants)
+        draw = tb.mix(draw + place.astype(np.uint64))
+        long = char_at[end] - char_at[start] > _MATRIX
+        draw = np.where(long, draw, draw % np.uint64(variants))
         keys = tb.mix(hashes + tb.mix(draw + np.uint64((seed << 20) & 0xFFFFFFFFFFFFFFFF)))
         keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
         skips = _skips(keys, drop)
         own = kind[at]  # the word of each key
-        other = np.flatnonzero(skips & ((1 << np.minimum(seen[own], 32)) - 1))
+        hit = skips & ((1 << np.minimum(seen[own], 32)) - 1) != 0
+        other = np.flatnonzero(hit | (seen[own] > 32))
         new = other[memo.missing(keys[other])]
-        memo.add(keys[new], *run(at[new], skips[new]))
+        memo.add(keys[new], *run(at[new], skips[new], _more_skips(keys[new], drop)))
         target = kinds[own]
         target[other] = keys[other]
         kinds, kind = np.unique(target, return_inverse=True)

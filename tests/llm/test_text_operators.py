@@ -426,6 +426,39 @@ def test_dropout_varies_words_and_follows_the_seed(models):
     assert np.array_equal(ids, pieces_of(model, texts, 0.3)[0])
 
 
+def test_dropout_of_long_words_is_drawn_per_candidate(models):
+    """Each occurrence of a long unspaced word has skips of its own, at the stated rate."""
+    model, _ = models
+    word = "internationalization" * 100
+    assert model.heap(model.symbols(word), 0)[1] > 500
+    texts = [f"a {word}"] * 40
+    ids, limits = pieces_of(model, texts, 0.1)
+    kinds = {tuple(ids[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)}
+    assert len(kinds) == len(texts)
+    assert [x.decode() for x in model.decode(ids, limits)] == texts
+    sizes = np.diff(limits)  # all drop at about the same rate
+    assert sizes.std() < 0.1 * sizes.mean() and sizes.min() > len(pieces_of(model, texts[:1], 0)[0])
+    keys = np.arange(2000, dtype=np.uint64)
+    more = sp._more_skips(tb.mix(keys), 0.1)
+    masks = np.array([more(np.arange(2000), np.full(2000, k)) for k in (1, 2, 3)])
+    assert (masks[0] != masks[1]).mean() > 0.9
+    share = np.array([bin(m).count("1") for m in masks.ravel().tolist()]).mean() / 32
+    assert abs(share - 26 / 256) < 0.01
+
+
+def test_matrix_and_heap_agree_past_32_candidates(models):
+    model, _ = models
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("thenriosa"), 24)) for _ in range(200)]
+    keys = tb.mix(np.arange(200, dtype=np.uint64))
+    skips, more = sp._skips(keys, 0.7), sp._more_skips(keys, 0.7)
+    symbols = [model.symbols(w) for w in words]
+    merged, seen = model.matrix(np.array(symbols), skips, more)
+    for row, s in enumerate(symbols):
+        ids, count = model.heap(s, int(skips[row]), lambda k, row=row: int(more(np.array([row]), np.array([k]))[0]))
+        assert (merged[row][merged[row] >= 0].tolist(), seen[row]) == (ids, count)
+
+
 # ------------------------------------------------------------------ quality
 
 
