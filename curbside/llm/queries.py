@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curbside.llm import chat, tokens, warc
+from curbside.llm.audit import audit_documents
 from curbside.llm.common import materialise, scratch_path
 from curbside.llm.decontaminate import find_contamination
 from curbside.llm.neardup import near_duplicates
@@ -109,6 +110,10 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_tokens,
     op2_chat,
@@ -120,6 +125,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_pii,
     op9_passages,
     op10_resample,
+    op11_audit,
 ]
 
 QUERIES = {query.__name__: query for query in _QUERIES} | {"pipeline": corpus_pipeline.run}
@@ -150,4 +156,52 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS kept_sha256
         FROM words LEFT JOIN kept USING (doc_id)
     """,
+    "op11_audit": f"""
+        WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+        marks AS (
+            SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+            FROM labels GROUP BY doc_id),
+        texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+            FROM documents),
+        failures AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t)
+                      THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS f
+            FROM texts LEFT JOIN marks USING (doc_id)),
+        counts AS (
+            SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+            FROM failures GROUP BY part, f),
+        steps AS (
+            SELECT filter_order, s AS step, filter_order[s] AS l, filter_order[1:s - 1] AS earlier
+            FROM orders, range(1, 6) AS r(s)),
+        audit AS (
+            SELECT part, filter_order, step, l,
+                   sum(CASE WHEN gone OR hit THEN 0 ELSE n END) AS kept,
+                   sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN f = l THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+            FROM (SELECT *, contains(f, l) AS hit,
+                         f <> '' AND earlier <> ''
+                         AND list_has_any(string_split(f, ''), string_split(earlier, '')) AS gone
+                  FROM counts, steps)
+            GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+               CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+        FROM audit
+    """,
 }
