@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from curbside.llm import chat, tokens, warc
 from curbside.llm.audit import audit_documents
+from curbside.llm.collocations import collocations
 from curbside.llm.common import materialise, scratch_path
 from curbside.llm.decontaminate import find_contamination
 from curbside.llm.neardup import near_duplicates
 from curbside.llm.neighbours import nearest
+from curbside.llm.packing import pack_documents
 from curbside.llm.passages import remove_repeated_passages
 from curbside.llm.pieces import decode_pieces, encode_pieces
 from curbside.llm.pii import find_personal_data, listed
@@ -114,6 +116,16 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_packing(
+    spark: SparkSession, sf_dir: str, tokenizer: str = corpus_pipeline.vocabulary("word_bpe_49k.json")
+) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer, end=1).drop("tokens")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_tokens,
     op2_chat,
@@ -126,6 +138,8 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op9_passages,
     op10_resample,
     op11_audit,
+    op12_packing,
+    op13_collocations,
 ]
 
 QUERIES = {query.__name__: query for query in _QUERIES} | {"pipeline": corpus_pipeline.run}
@@ -204,4 +218,48 @@ ORACLE_SQL = {
                CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
         FROM audit
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+        grams AS (
+            SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+            FROM starts, range(1, 5) AS lengths(k) WHERE i + k - 1 <= len(w)),
+        counts AS (
+            SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS n
+            FROM grams GROUP BY lang, k, phrase),
+        sizes AS (SELECT lang, sum(n) AS n FROM counts WHERE k = 1 GROUP BY lang),
+        candidates AS (
+            SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w
+            FROM counts WHERE k > 1 AND n >= 30),
+        inner_parts AS (
+            SELECT lang, a, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+            FROM candidates, range(2, 4) AS sizes(size), range(1, 4) AS places(i)
+            WHERE size < k AND i + size - 1 <= k),
+        around AS (SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY lang, phrase),
+        cuts AS (
+            SELECT c.lang, c.phrase, a, cut, before.n AS l, behind.n AS r,
+                   2000000 * a // (before.n + behind.n) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) AS c
+            JOIN counts AS before ON before.lang = c.lang
+                AND before.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+            JOIN counts AS behind ON behind.lang = c.lang
+                AND behind.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ')),
+        worst AS (
+            SELECT * FROM cuts
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        ranked AS (
+            SELECT lang, phrase, a, l, r, score, row_number() OVER (
+                PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM worst LEFT JOIN around USING (lang, phrase)
+            WHERE longer IS NULL OR 100 * longer < 80 * a)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a,
+               CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(sizes.n AS BIGINT) AS n,
+               CAST(score AS BIGINT) AS score
+        FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+    """,
 }
