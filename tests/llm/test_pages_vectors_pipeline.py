@@ -158,6 +158,57 @@ def test_neighbours(table):
     assert hits >= 0.99 * total
 
 
+def recall(found, want, k=10):
+    """Share of the true neighbours found; ranks and order are checked on the way."""
+    hits = total = 0
+    for q, best in want.items():
+        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(best) + 1))
+        assert [(r.score, r.vec_id) for r in mine] == sorted((r.score, r.vec_id) for r in mine)
+        # By distance: rows of one id can't be told apart by it.
+        hits += sum(r.score <= best[-1][0] * (1 + 1e-12) for r in mine)
+        total += len(best)
+    assert len({r.query_id for r in found}) == len([b for b in want.values() if b])
+    return hits / total
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_registered_query(spark, table, sf):
+    vectors = table("embeddings", sf)
+    rows = [tuple(r) for r in vectors.select("vec_id", "embedding").collect()]
+    want = nearest_by_hand(rows, lambda i: i % 100 == 0, 10)
+    found = queries.op7_neighbours(spark, f"/root/testdata/{sf}").collect()
+    assert recall(found, want) >= 0.99
+
+
+def test_a_query_that_repeats(spark):
+    """All ten neighbours, though 30 nearer rows have the query's own id."""
+    rng = np.random.default_rng(5)
+    rows = [(0, rng.standard_normal(16) * 0.01 + 1) for _ in range(30)]
+    rows += [(i, rng.standard_normal(16)) for i in range(1, 400)]
+    rows = [(i, v.tolist()) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cells, block in ((256, 16384), (4, 40), (1, 7)):
+        found = neighbours.nearest(
+            vectors, F.col("vec_id") == 0, cells=cells, block=block).collect()
+        asker = min(v for i, v in rows if i == 0)
+        best = sorted((float(np.sqrt(((np.array(v) - asker) ** 2).sum())), i)
+                      for i, v in rows if i)[:10]
+        assert [(r.score, r.vec_id) for r in sorted(found, key=lambda r: r["rank"])] == best
+
+
+def test_cells_cost_no_neighbours(spark):
+    """Clusters of very different sizes, one vector that a third of the rows share."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 24)) * 4
+    x = centres[rng.integers(0, 12, 3000) % rng.integers(1, 13, 3000)] + rng.standard_normal((3000, 24)) * 0.3
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, block=200).collect()
+    assert recall(found, nearest_by_hand(rows, lambda i: i % 50 == 0, 10)) >= 0.99
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, []), (5, [0.0, 0.0]),
