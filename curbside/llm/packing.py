@@ -35,6 +35,8 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 #: Tokens of open windows that one merging task gets, about.
 MERGED = 4 << 20
+#: Words that the library gets as one text.
+_TOGETHER = 256
 #: Tokens of a batch handed to Spark, about.
 _BATCH = 1 << 20
 
@@ -93,6 +95,37 @@ class WordEncoder(Encoder):
             and not splits[1]["add_prefix_space"]
             and not splits[1]["use_regex"]
         )
+        # A short rare word that is one id, to stand between others encoded together.
+        vocabulary = self.tokenizer.get_vocab() if self.by_piece else {}
+        short = [w for w in vocabulary if len(w) == 7 and w.endswith("</w>")]
+        plain = (w[:-4] for w in sorted(short, key=vocabulary.get, reverse=True))
+        for word in (w for w in plain if w.isascii() and w.isalpha()):
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            if len(found) == 1:
+                self.between, self.mark = f" {word} ", found[0]
+                break
+        else:
+            self.by_piece = False
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `_ids`, many words to a text: each text costs the library as much as a word."""
+        groups = [words[at : at + _TOGETHER] for at in range(0, len(words), _TOGETHER)]
+        flat, sizes = self._ids([self.between.join(group) for group in groups])
+        ends = np.cumsum(sizes)
+        ids, lengths = [], []
+        for group, a, b in zip(groups, ends - sizes, ends, strict=True):
+            mine = flat[a:b]
+            real = mine != self.mark
+            marks = np.flatnonzero(~real)
+            if len(marks) == len(group) - 1:
+                limits = np.concatenate([[-1], marks, [len(mine)]])
+                ids.append(mine[real])
+                lengths.append(np.diff(limits) - 1)
+            else:  # one of the words has the mark itself
+                for found, target in zip(self._ids(group), (ids, lengths), strict=True):
+                    target.append(found)
+        none = np.empty(0, dtype=np.int32)
+        return np.concatenate([none, *ids]), np.concatenate([none.astype(np.int64), *lengths])
 
     def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, limits = tb.text_bytes(texts)
@@ -105,7 +138,7 @@ class WordEncoder(Encoder):
         some = [
             raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)
         ]
-        ids, lengths = self._ids(some)
+        ids, lengths = self._apart(some)
         self.memo.add(keys[new], lengths, ids)
         ids, lengths = self.memo.gather(self.memo.places(keys)[kind])
         return ids, np.append(0, np.cumsum(lengths))[np.searchsorted(start, limits)]

@@ -120,6 +120,13 @@ def test_words_alone_give_the_ids_of_the_text(vocabulary, library):
     assert alone(path, texts) == [ids_of(library, t)[:-1] for t in texts]
 
 
+def test_the_word_between_others_as_a_word(vocabulary, library):
+    path = vocabulary("word_bpe_49k.json")
+    word = packing._encoder(path).between.strip()
+    texts = [f"{word} x", f"a {word}{word} b9{word.upper()}", " ".join(f"w{i}q" for i in range(700)), word]
+    assert alone(path, texts) == [ids_of(library, t)[:-1] for t in texts]
+
+
 PARTS = st.sampled_from(
     ["'", "s", "'s", "T", "re", "5", ".", "-", " ", "\n", "\x0b", "\x1c", "́", "̸", "é",
      "E", "K", "K", "½", "٣", "日", "\x85", " ", "İ", "Σ", "=", "<", "|", "ᄀ", "ᅡ"]
