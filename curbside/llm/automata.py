@@ -50,7 +50,7 @@ def nodes(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 def _shared(first, counts, label, weight, target) -> tuple[np.ndarray, np.ndarray]:
     """A state for each node (0 without arcs), and the nodes whose arcs the states have."""
     some = np.flatnonzero(counts)
-    state = np.zeros(len(counts), dtype=np.int64)
+    state = np.zeros(len(counts), dtype=np.int32)
     if not len(some):
         return state, some
     odd = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +86,7 @@ class Transducer:
         depths = nodes(rows)
         width = rows.shape[1]
         levels: list[Arcs] = []
-        target = np.zeros(len(depths[-1][0]), dtype=np.int64)
+        target = np.zeros(len(depths[-1][0]), dtype=np.int32)
         for d in range(width - 1, -1, -1):
             at, end = depths[d]
             label, sizes = rows[at, d], total[end] - total[at]
@@ -115,7 +115,9 @@ class Transducer:
             new = counts + stops
             begin = np.cumsum(new) - new
             back = np.repeat(np.arange(len(new)), new)
-            label, next_weight, next_target = (np.zeros(len(back), dtype=np.int64) for _ in "abc")
+            label = np.zeros(len(back), dtype=np.int32)
+            next_weight = np.zeros(len(back), dtype=np.int64)
+            next_target = np.zeros(len(back), dtype=np.int32)
             at = begin[stops > 0]
             next_weight[at] = ended[stops > 0]
             to, source = tb.ranges(begin + stops, counts), tb.ranges(arcs.first[target], counts)
@@ -146,11 +148,11 @@ class Transducer:
                 pair = state[np.searchsorted(above, at, side="right") - 1]
             owner = np.repeat(np.arange(len(arcs.first) - 1), np.diff(arcs.first))
             have = owner * base + arcs.label
-            label = rank[rows[at, d]]
+            label = rank[rows[at, d]].astype(np.int64)
             want = np.where((pair < 0) | (label < 0), -1, pair * base + label)
             place = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
             hit = have[place] == want if len(have) else np.zeros(len(at), dtype=bool)
-            state, weight = np.full(len(at), -1), np.zeros(len(at), dtype=np.int64)
+            state, weight = np.full(len(at), -1, np.int64), np.zeros(len(at), dtype=np.int64)
             state[hit], weight[hit] = arcs.target[place[hit]], arcs.weight[place[hit]]
             last = np.ones(len(at), dtype=bool)
             if d + 1 < rows.shape[1]:  # rows that end here come first below their prefix
@@ -180,8 +182,11 @@ class Transducer:
             at += length
         levels = []
         for d in range(width):
-            counts, label, weight, target = (a.astype(np.int64) for a in arrays[1 + 4 * d :][:4])
-            levels.append(Arcs(np.append(0, np.cumsum(counts)), label, weight, target))
+            counts, label, weight, target = arrays[1 + 4 * d :][:4]
+            levels.append(Arcs(
+                np.append(0, np.cumsum(counts, dtype=np.int64)), label.astype(np.int32),
+                weight.astype(np.int64), target.astype(np.int32),
+            ))
         return cls(arrays[0].astype(np.uint64), levels)
 
 
@@ -200,51 +205,84 @@ def ranked(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ranks = ranks.reshape(windows.shape)
     if not len(keys) or keys[0] != 0:
         keys, ranks = np.append(keys.dtype.type(0), keys), ranks + 1
-    return keys, ranks
+    return keys, ranks.astype(np.int32)
 
 
 def summed(rows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order, and the sums of their weights."""
-    if not len(rows):
-        return rows, weight
-    order = np.lexsort(_packed(rows))
-    rows = rows[order]
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    order, new = _order(rows)
     at = np.flatnonzero(new)
-    return rows[at], np.add.reduceat(weight[order], at)
+    if not len(at):
+        return rows, weight
+    return rows[order[at]], np.add.reduceat(weight[order], at)
 
 
 def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order, and which of them each row is."""
-    order = np.lexsort(_packed(rows))
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    order, new = _order(rows)
     which = np.empty(len(rows), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
     return rows[order[new]], which
 
 
-def _packed(rows: np.ndarray) -> list[np.ndarray]:
-    """Sort keys, last first: two ranks to a number where they fit."""
-    if len(rows) and int(rows.max()) < 1 << 31:
-        width = rows.shape[1]
-        return [
-            rows[:, d] << 31 | (rows[:, d + 1] if d + 1 < width else 0)
-            for d in range(0, width, 2)
-        ][::-1]
-    return [rows[:, d] for d in range(rows.shape[1] - 1, -1, -1)]
-
-
-def union(parts: list[Transducer]) -> Transducer:
-    """Weights of equal sequences added up."""
-    if len(parts) == 1:
-        return parts[0]
+def counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and how often each occurs."""
+    bits = _bits(rows)
+    if bits * rows.shape[1] > 64:
+        return summed(rows, np.ones(len(rows), dtype=np.int64))
+    keys = _joined(rows, bits)
+    keys.sort()
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    out, keys = np.empty((len(at), rows.shape[1]), dtype=rows.dtype), keys[at]
+    for d in range(rows.shape[1] - 1, -1, -1):
+        out[:, d] = keys & np.uint64((1 << bits) - 1)
+        keys >>= np.uint64(bits)
+    return out, np.diff(np.append(at, len(rows)))
+
+
+def _bits(rows: np.ndarray) -> int:
+    return max(1, int(rows.max()).bit_length()) if len(rows) else 1
+
+
+def _joined(rows: np.ndarray, bits: int) -> np.ndarray:
+    """Rows as one number each, in the same order; they must fit."""
+    keys = np.zeros(len(rows), dtype=np.uint64)
+    for d in range(rows.shape[1]):
+        keys <<= np.uint64(bits)
+        keys |= rows[:, d].astype(np.uint64)
+    return keys
+
+
+def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorting order of the rows, and which of the rows in that order are new."""
+    bits, width = _bits(rows), rows.shape[1]
+    fit = 64 // bits  # columns to a number
+    keys = [_joined(rows[:, d : d + fit], bits) for d in range(0, width, fit)]
+    if len(keys) == 1:
+        order = np.argsort(keys[0], kind="stable")
+    else:
+        order = np.lexsort(keys[::-1])
+    new = np.zeros(len(rows), dtype=bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    return order, new
+
+
+def merged(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sorted rows and weights of a union: weights of equal sequences added up."""
     keys = np.unique(np.concatenate([p.keys for p in parts]))
     rows, weights = [], []
     for part in parts:
-        place = np.searchsorted(keys, part.keys)
+        place = np.searchsorted(keys, part.keys).astype(np.int32)
         found, weight = part.rows()
         rows.append(place[found])
         weights.append(weight)
-    return Transducer.build(keys, *summed(np.concatenate(rows), np.concatenate(weights)))
+    return keys, *summed(np.concatenate(rows), np.concatenate(weights))
+
+
+def union(parts: list[Transducer]) -> Transducer:
+    return parts[0] if len(parts) == 1 else Transducer.build(*merged(parts))

@@ -2,18 +2,22 @@
 
 Four steps, each a Spark job over written tables:
 
-1. Words are tallied per language. Every task also gives a sample of its distinct word
-   windows (those whose hash falls in one of `sampled` classes), from which the limits of the prefix
-   ranges are taken, so that ranges are even however often a word or a pair occurs.
-2. Every task sorts its windows of up to `width` words, a shard at a time, and builds
+1. Words are tallied by 64-bit keys. Those frequent enough to be part of a phrase get numbers
+   in the order of their keys; if there are too many of them for every task to know, they
+   keep their keys, and a bitmap of fixed size rules out most others. Every task also gives
+   a sample of its word windows, from which the limits of the prefix ranges are taken, so
+   that ranges are even however often a word or a pair occurs.
+2. Every task sorts its windows of up to `width` such words, a shard at a time, and builds
    count transducers of them, one for each prefix range the shard has windows of.
 3. The transducers of a range are united, weights of equal windows summed. Phrases of
    `least` occurrences or more remain; those that a range limit cuts are added up.
 4. The counts are transducers again, and each range's is composed with the parts of all
-   candidates that fall into the range. A candidate's score is that of its worst cut.
+   candidates that fall into the range. A candidate's score is that of its worst cut. The
+   words of the best phrases are read from the texts at the end.
 
 A range that many candidates ask for is copied, so that no task gets more than
-`_ASKED` questions. What the driver sees are the ranges' limits.
+`_ASKED` questions. What the driver sees are the ranges' limits and the numbered keys or the
+bitmap.
 """
 
 from __future__ import annotations
@@ -29,25 +33,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curbside.llm import textblocks as tb
-from curbside.llm.automata import Transducer, distinct, nodes, ranked, summed, union
+from curbside.llm.automata import Transducer, counted, distinct, merged, nodes, ranked, summed
 from curbside.llm.common import materialise
 
 __all__ = ["collocations"]
 
 #: Windows of a shard, and of a range (all shards' windows counted), about.
-SHARD = 2_000_000
-RANGE = 2_000_000
+SHARD = 1_000_000
+RANGE = 1_000_000
 #: Prefix ranges at most; beyond, they grow.
 RANGES = 100_000
 #: One window in this many is in the sample that the limits are taken from.
 SAMPLED = 1024
+#: Words that are numbered, at most (32 MB), and bits of a key that choose its place in the
+#: bitmap beyond (8 MB).
+NUMBERED = 1 << 22
+BITMAP = 26
 _LIMITS_FROM = 16  # sampled windows a range, at most
 #: Questions that one task answers.
 _ASKED = 1_000_000
 #: Parts a language's ranking is cut into before its best are compared in one place.
 _SPREAD = 64
 #: Words a task remembers before it hands its tally on.
-_WORDS = 500_000
+_WORDS = 1_000_000
 
 _BREAKS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 _WORD_BYTES = tb.byte_classes(bytes([0x20, 0x09, *np.flatnonzero(_BREAKS).tolist()]))
@@ -103,71 +111,167 @@ def _strings(tokens: tb.Tokens, at: np.ndarray) -> pa.Array:
     )
 
 
-_TALLY = "key bigint, n bigint, lang string, word string, sample binary"
+def _record(types: dict[str, pa.DataType], rows: int, **columns) -> pa.RecordBatch:
+    """A batch with nulls in the columns that are not given."""
+    return pa.RecordBatch.from_pydict({
+        name: pa.array(columns[name], kind) if name in columns else pa.nulls(rows, kind)
+        for name, kind in types.items()
+    })
+
+
+_TALLY = {"key": pa.int64(), "n": pa.int64(), "lang": pa.string(), "sample": pa.binary()}
 
 
 def _tally(width: int, sampled: int):
-    def flush(parts: list, samples: list) -> Iterator[pa.RecordBatch]:
-        keys, places, kind = np.unique(
+    """Rows of two kinds: a word's key, number and language; a sample."""
+
+    def merge(parts: list) -> tuple[np.ndarray, ...]:
+        keys, first, kind = np.unique(
             np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True
         )
-        counts = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(counts, kind, np.concatenate([p[1] for p in parts]))
-        for at in range(0, len(keys), 100_000):
-            here = pa.array(places[at : at + 100_000])
-            n = len(here)
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(keys[at : at + n].view(np.int64)),
-                "n": pa.array(counts[at : at + n]),
-                "lang": pa.chunked_array([p[2] for p in parts]).take(here).combine_chunks(),
-                "word": pa.chunked_array([p[3] for p in parts]).take(here).combine_chunks(),
-                "sample": pa.nulls(n, pa.binary()),
-            })
-        some = np.unique(_sortable(np.concatenate(samples)))
-        if len(some):
-            raw, size = some.tobytes(), some.dtype.itemsize
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.nulls(len(some), pa.int64()),
-                "n": pa.nulls(len(some), pa.int64()),
-                "lang": pa.nulls(len(some), pa.string()),
-                "word": pa.nulls(len(some), pa.string()),
-                "sample": [raw[i : i + size] for i in range(0, len(raw), size)],
-            })
+        counts = np.bincount(kind, np.concatenate([p[1] for p in parts]), len(keys))
+        return keys, counts.astype(np.int64), np.concatenate([p[2] for p in parts])[first]
+
+    def rows(part: tuple, langs: list[str]) -> pa.RecordBatch:
+        names = pa.DictionaryArray.from_arrays(pa.array(part[2]), pa.array(langs, pa.string()))
+        return _record(_TALLY, len(part[0]), key=part[0].view(np.int64), n=part[1],
+                       lang=names.cast(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, samples, size = [], [], 0
+        parts, size, numbers = [], 0, {}
         for block in tb.blocks(batches):
             tokens, keys, left = _words(block)
-            distinct, at, counts = np.unique(keys, return_index=True, return_counts=True)
-            owner = np.searchsorted(tokens.first, at, side="right") - 1
-            langs = block.column("lang").take(pa.array(owner))
-            parts.append((distinct, counts, langs, _strings(tokens, at).cast(pa.string())))
-            windows = _windows(keys, left, width)
-            mixed = windows[:, 0].copy()
-            for d in range(1, width):
-                mixed = tb.mix(mixed ^ windows[:, d])
-            samples.append(windows[mixed % np.uint64(sampled) == 0])
+            lang = np.array(
+                [numbers.setdefault(x, len(numbers)) for x in block.column("lang").to_pylist()],
+                dtype=np.int32,
+            )
+            distinct, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            owner = np.searchsorted(tokens.first, first, side="right") - 1
+            parts.append((distinct, counts, lang[owner]))
             size += len(distinct)
-            if size > _WORDS:
-                yield from flush(parts, samples)
-                parts, samples, size = [], [], 0
+            if size > _WORDS // 2:
+                parts = [merge(parts)]
+                size = len(parts[0][0])
+                if size > _WORDS // 2:
+                    yield rows(parts[0], list(numbers))
+                    parts, size = [], 0
+            some = np.arange(len(keys) % sampled, len(keys), sampled)
+            windows = np.zeros((len(some), width), dtype=np.uint64)
+            for d in range(width):
+                here = left[some] > d
+                windows[here, d] = keys[some[here] + d]
+            if len(some):
+                raw, step = np.unique(_sortable(windows)).tobytes(), 8 * width
+                samples = [raw[i : i + step] for i in range(0, len(raw), step)]
+                yield _record(_TALLY, len(samples), sample=samples)
         if parts:
-            yield from flush(parts, samples)
+            yield rows(merge(parts), list(numbers))
 
     return run
 
 
-def _count(limits: np.ndarray, width: int, shard: int):
+class Codes:
+    """Codes of words, in the order of their keys: 0 for a word that is in no phrase, and else
+    its number among the frequent ones, or, with a bitmap of them alone, its key."""
+
+    def __init__(self, frequent: np.ndarray | None, bitmap: np.ndarray | None = None):
+        self.frequent, self.bitmap = frequent, bitmap
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if self.frequent is None:
+            return np.where(_marked(self.bitmap, keys, 64), keys, np.uint64(0))
+        at = np.searchsorted(self.frequent, keys)
+        hit = at < len(self.frequent)
+        hit[hit] = self.frequent[at[hit]] == keys[hit]
+        return np.where(hit, at + 1, 0).astype(np.uint64)
+
+    def limits(self, windows: np.ndarray) -> np.ndarray:
+        """For limits of ranges: windows of codes that are in the same order."""
+        if self.frequent is None:
+            return windows
+        above = np.searchsorted(self.frequent, windows, side="left") + 1
+        return np.where(windows > 0, above, 0).astype(np.uint64)
+
+    @property
+    def bits(self) -> int:
+        """Bits that the codes fit."""
+        return 64 if self.frequent is None else max(len(self.frequent).bit_length(), 1)
+
+
+def _marked(bitmap: np.ndarray, codes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bitmap has a code's place: the first `BITMAP` bits of a key, or a number."""
+    place = codes >> np.uint64(64 - BITMAP) if bits == 64 else codes
+    shift = (place & np.uint64(7)).astype(np.uint8)
+    return (bitmap[place >> np.uint64(3)] >> shift & 1).astype(bool)
+
+
+def _bitmap(codes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each place that a code has: 2 ** (BITMAP - 6) rows at most."""
+    place = F.shiftrightunsigned(column, bits - BITMAP) if bits == 64 else F.col(column)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    found = codes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), dtype="<i8")
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _codes(frequent: DataFrame) -> Codes:
+    if frequent.count() > NUMBERED:
+        return Codes(None, _bitmap(frequent, "key", 64))
+    keys = frequent.select("key").toArrow().column("key").to_numpy()
+    return Codes(np.sort(keys.astype(np.int64).view(np.uint64)))
+
+
+def _coded(codes: Codes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = codes(batch.column("key").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_pydict({
+                "code": pa.array(code.view(np.int64)), "lang": batch.column("lang")
+            })
+
+    return run
+
+
+def _named(codes: Codes, wanted: np.ndarray):
+    """The words of the codes that a bitmap has, once for each block of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tb.blocks(batches):
+            tokens, keys, _ = _words(block)
+            distinct, first = np.unique(keys, return_index=True)
+            code = codes(distinct)
+            mine = (code > 0) & _marked(wanted, code, codes.bits)
+            if mine.any():
+                yield pa.RecordBatch.from_pydict({
+                    "code": pa.array(code[mine].view(np.int64)),
+                    "word": _strings(tokens, first[mine]).cast(pa.string()),
+                })
+
+    return run
+
+
+def _count(limits: np.ndarray, codes: Codes, width: int, shard: int):
     def build(blocks: list) -> Iterator[pa.RecordBatch]:
-        keys, ranks = ranked(np.concatenate([b[0] for b in blocks]))
+        every, kind = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
+        code = codes(every)
+        common = code > 0
+        ranks = np.where(common, np.cumsum(common), 0).astype(np.int32)[kind]
+        names = np.append(np.uint64(0), code[common])
         windows = _windows(ranks, np.concatenate([b[1] for b in blocks]), width)
-        rows, counts = summed(windows, np.ones(len(windows), dtype=np.int64))
-        cuts = np.searchsorted(_sortable(keys[rows]), limits) if len(limits) else limits
+        for d in range(1, width):  # nothing goes on behind a word that is in no phrase
+            windows[windows[:, d - 1] == 0, d] = 0
+        rows, counts = counted(windows[windows[:, 0] > 0])
+        del windows
+        cuts = np.searchsorted(_sortable(names[rows]), limits) if len(limits) else limits
         cuts = [0, *(int(c) for c in cuts), len(rows)]
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
-                used, some = ranked(rows[a:b])  # ranks as the keys, for now
-                blob = Transducer.build(keys[used], some, counts[a:b]).encode()
+                here = np.zeros(len(names), dtype=bool)
+                here[rows[a:b].ravel()] = True
+                here[0] = True
+                place = (np.cumsum(here) - 1).astype(np.int32)
+                blob = Transducer.build(names[here], place[rows[a:b]], counts[a:b]).encode()
                 yield pa.RecordBatch.from_pydict({
                     "range": pa.array([i], pa.int32()), "counts": pa.array([blob], pa.binary())
                 })
@@ -193,15 +297,15 @@ def _unite(limits: np.ndarray, width: int, least: int):
     def run(table: pa.Table) -> pa.Table:
         here = table.column("range")[0].as_py()
         parts = [Transducer.decode(b.as_py()) for b in table.column("counts")]
-        whole = union(parts)
-        rows, counts = whole.rows()
+        keys, rows, counts = merged(parts)
+        del parts
         total = np.append(0, np.cumsum(counts))
         # Prefixes of the range's limits may go on in the ranges beside it.
         edges = limits[max(here - 1, 0) : here + 1] if here else limits[:1]
         edges = [np.frombuffer(e.ljust(size, b"\0"), dtype=">u8") for e in edges.tolist()]
         found = []
         for d, (at, end) in enumerate(nodes(rows), 1):
-            n, prefix = total[end] - total[at], whole.keys[rows[at, :d]]
+            n, prefix = total[end] - total[at], keys[rows[at, :d]]
             keep = n >= least
             for edge in edges:
                 keep |= (prefix == edge[:d].astype(np.uint64)).all(axis=1)
@@ -305,7 +409,7 @@ def _answers(width: int):
     return run
 
 
-def _limits(tally: DataFrame, sampled: int, size: int, width: int) -> np.ndarray:
+def _limits(tally: DataFrame, codes: Codes, sampled: int, size: int, width: int) -> np.ndarray:
     """Lower limits of all ranges but the first, as sortable byte strings. They only decide
     which task has which windows."""
     samples = tally.filter("sample is not null").select("sample")
@@ -313,7 +417,9 @@ def _limits(tally: DataFrame, sampled: int, size: int, width: int) -> np.ndarray
     if n < 2:
         return np.empty(0, dtype=f"S{8 * width}")
     some = samples.orderBy(F.xxhash64("sample"), "sample").limit(_LIMITS_FROM * n).collect()
-    found = np.sort(np.array([bytes(r[0]) for r in some], dtype=f"S{8 * width}"))
+    raw = b"".join(bytes(r[0]) for r in some)
+    windows = np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, width)
+    found = np.sort(_sortable(codes.limits(windows)))
     return np.unique(found[np.arange(1, n) * len(found) // n])
 
 
@@ -373,8 +479,8 @@ def collocations(
 
     Null and empty texts have no words; a null language is `und`. Rows count as often as
     they repeat; ids play no part. An empty table gives no rows. Nothing but language and
-    text is read, so other names can't clash. Words are told apart by 64-bit keys; should
-    two words share one, that is a named error, not a wrong count.
+    text is read, so other names can't clash. Words are told apart by 64-bit keys; should a
+    word of the result share its key with another, that is a named error.
     """
     if width < 2:
         raise ValueError("phrases have two words at least")
@@ -383,20 +489,23 @@ def collocations(
         F.col(text).cast("string").alias("text"),
     )
     keys = _columns("h", width)
-    tally = materialise(base.mapInArrow(_tally(width, sampled), _TALLY), "tally")
-    words = materialise(
-        tally.filter("key is not null").groupBy("key", "lang", "word").agg(F.sum("n").alias("n")),
-        "words",
-    )
-    if not words.groupBy("key").count().filter("count > 1").isEmpty():
-        raise ValueError("two words have one key")
-    limits = _limits(tally, sampled, size, width)
+    kinds = "key bigint, n bigint, lang string, sample binary"
+    tally = materialise(base.mapInArrow(_tally(width, sampled), kinds), "tally")
+    words = tally.filter("key is not null")
+    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    common = words.groupBy("key", "lang").agg(F.sum("n").alias("n"))
+    frequent = materialise(common.filter(F.col("n") >= least).select("key", "lang"), "frequent")
+    codes = _codes(frequent)
+    langs = frequent.mapInArrow(_coded(codes), "code bigint, lang string")
+    limits = _limits(tally, codes, sampled, size, width)
 
     long = ", ".join(f"{c} bigint" for c in (*keys, "n"))
-    shards = base.mapInArrow(_count(limits, width, shard), "range int, counts binary")
-    counted = shards.groupBy("range").applyInArrow(_unite(limits, width, least), long)
-    counted = counted.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    counts = materialise(counted, "counts")
+    shards = base.mapInArrow(_count(limits, codes, width, shard), "range int, counts binary")
+    phrases = (
+        shards.groupBy("range").applyInArrow(_unite(limits, width, least), long)
+        .groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    )
+    counts = materialise(phrases, "counts")
 
     tables = counts.mapInArrow(_placed(limits, width), f"{long}, range int")
     tables = tables.groupBy("range").applyInArrow(_automaton(width), "range int, counts binary")
@@ -445,18 +554,22 @@ def collocations(
         F.col("around").isNull() | ~wide
     ).drop("around")
 
-    known = words.filter(F.col("n") >= least).select("key", "lang", "word")
-    first = known.select(F.col("key").alias("h1"), "lang", F.col("word").alias("w1"))
     order = [F.desc("score"), F.desc("a")]
-    rows = _best(alone.join(first, "h1"), order, top, True, _SPREAD)
-    for d, key in enumerate(keys[1:], 2):
-        one = known.select(F.col("key").alias(key), F.col("word").alias(f"w{d}"))
+    rows = _best(alone.join(langs.withColumnRenamed("code", "h1"), "h1"), order, top, True, _SPREAD)
+    rows = materialise(rows.drop("rank"), "best")
+    used = rows.select(F.explode(F.array(*keys)).alias("code")).filter("code <> 0")
+    wanted = _bitmap(used, "code", codes.bits)
+    named = base.mapInArrow(_named(codes, wanted), "code bigint, word string").distinct()
+    named = materialise(named.join(used.distinct(), "code", "left_semi"), "words")
+    if not named.groupBy("code").count().filter("count > 1").isEmpty():
+        raise ValueError("two words have one key")
+    for d, key in enumerate(keys, 1):
+        one = named.select(F.col("code").alias(key), F.col("word").alias(f"w{d}"))
         rows = rows.join(one, key, "left")
     phrase = F.concat_ws(" ", *(f"w{d}" for d in range(1, width + 1)))
     rows = rows.withColumn("phrase", phrase)
     order = [*order, F.col("phrase")]
     rows = _best(_best(rows, order, top, False, _SPREAD), order, top, False, 1)
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return rows.join(sizes, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

@@ -98,6 +98,13 @@ def test_other_widths_and_ties_at_the_end(spark, odd_rows, width):
     assert found(df) == sorted(by_hand(odd_rows, 3, width, 7))
 
 
+@pytest.mark.parametrize("size", [8, 10**6])
+def test_more_frequent_words_than_are_numbered(spark, odd_rows, monkeypatch, size):
+    monkeypatch.setattr(collocations, "NUMBERED", 3)
+    df = collocations.collocations(docs_of(spark, odd_rows), least=5, size=size, sampled=1)
+    assert found(df) == sorted(by_hand(odd_rows, 5))
+
+
 def test_many_questions_are_dealt_out(spark, odd_rows, monkeypatch):
     monkeypatch.setattr(collocations, "_ASKED", 10)
     df = collocations.collocations(docs_of(spark, odd_rows), least=5)
