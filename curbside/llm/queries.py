@@ -27,8 +27,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_tokens(
-    spark: SparkSession, sf_dir: str, tokenizer: str = corpus_pipeline.vocabulary("byte_bpe_50k.json")
+    spark: SparkSession, sf_dir: str, tokenizer: str | None = None
 ) -> DataFrame:
+    tokenizer = tokenizer or corpus_pipeline.vocabulary("byte_bpe_50k.json")
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer, end=0, special=True)
     return tokens.checksums(tokens.read_tokens(spark, path, "tokens"))
@@ -60,8 +61,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(
-    spark: SparkSession, sf_dir: str, model: str = corpus_pipeline.vocabulary("piece_bpe_32k.model")
+    spark: SparkSession, sf_dir: str, model: str | None = None
 ) -> DataFrame:
+    model = model or corpus_pipeline.vocabulary("piece_bpe_32k.model")
     pieces = encode_pieces(_table(spark, sf_dir, "documents"), model)
     rows = pieces.select(
         "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"),
@@ -117,8 +119,9 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(
-    spark: SparkSession, sf_dir: str, tokenizer: str = corpus_pipeline.vocabulary("word_bpe_49k.json")
+    spark: SparkSession, sf_dir: str, tokenizer: str | None = None
 ) -> DataFrame:
+    tokenizer = tokenizer or corpus_pipeline.vocabulary("word_bpe_49k.json")
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer, end=1).drop("tokens")
 
 
