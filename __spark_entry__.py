@@ -6,7 +6,6 @@ volume, from `lineitem` and `orders`) as described in `curbside/testbed.py`.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -40,12 +39,12 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = _trips(spark, sf_dir)
-    return quality.clean(trips, quality.lazy_fence(trips, EVENTS), EVENTS)
+    return quality.clean(trips, quality.fence_column(trips, EVENTS), EVENTS)
 
 
 def _ship_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = testbed.trips_from_shipments(spark, sf_dir)
-    return quality.clean(trips, quality.lazy_fence(trips, SHIPMENTS), SHIPMENTS)
+    return quality.clean(trips, quality.fence_column(trips, SHIPMENTS), SHIPMENTS)
 
 
 def _landed_lake(spark: SparkSession, sf_dir: str, spec=EVENTS) -> jobs.Lake:
@@ -109,11 +108,11 @@ def iqr_fence_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     accuracy = 10000
     trips = _trips(spark, sf_dir)
-    stats = quality.fence_stats(trips, EVENTS, method="approx", accuracy=accuracy)
+    stats = quality.fence_stats(trips, EVENTS, method="approx", accuracy=accuracy).first()
     hours = quality.fence_population(trips, EVENTS).select(duration_hours(EVENTS).alias("hours"))
     counts = [F.count("*").alias("size")]
     for name in ("p25", "p75"):
-        value = stats.select(name).scalar()
+        value = F.lit(stats[name])
         counts += [
             F.count_if(F.col("hours") < value).alias(f"{name}_low"),
             F.count_if(F.col("hours") <= value).alias(f"{name}_upto"),
@@ -144,7 +143,40 @@ def silver_clean_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def silver_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = _trips(spark, sf_dir)
-    return quality.cleaning_report(trips, quality.lazy_fence(trips, EVENTS), EVENTS)
+    return quality.cleaning_report(trips, quality.fence_column(trips, EVENTS), EVENTS)
+
+
+def silver_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule removes, counted in the write of the cleaned table."""
+    lake = _landed_lake(spark, sf_dir)
+    jobs.bronze_all(spark, lake)
+    run = jobs.silver(spark, lake)
+    counts = F.array(*(
+        F.struct(
+            F.lit(rule).alias("rule"), F.lit(n.broken).cast("bigint").alias("broken_rows"),
+            F.lit(n.alone).cast("bigint").alias("alone_rows"),
+        )
+        for rule, n in run.rules.items()
+    ))
+    return spark.range(1).select(F.inline(counts))
+
+
+def silver_rules_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trips = testbed.trips_from_shipments(spark, sf_dir)
+    return quality.rule_report(trips, quality.fence_column(trips, SHIPMENTS), SHIPMENTS)
+
+
+def silver_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned table from raw rows in any order, laid out by source, month and pickup."""
+    lake = _landed_lake(spark, sf_dir)
+    jobs.bronze_all(spark, lake)
+    for source in EVENTS.sources:
+        path = lake.bronze(source)
+        mixed = scratch_path(spark, "mixed")
+        spark.read.parquet(path).repartition(16).write.parquet(mixed)
+        overwrite_table(spark.read.parquet(mixed), path)
+    jobs.silver(spark, lake, layout="rebalance")
+    return jobs.read_silver(spark, lake)
 
 
 def silver_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +260,15 @@ def gold_marts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stacked(jobs.run_all(spark, _landed_lake(spark, sf_dir)).marts, "mart")
 
 
+def gold_changed_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four marts after May alone was cleaned anew and its rollup replaced."""
+    lake = _landed_lake(spark, sf_dir)
+    run = jobs.run_all(spark, lake)
+    late = [int(EVENTS.period_end[:7].replace("-", ""))]
+    jobs.silver(spark, lake, months=late, fence=run.silver.fence)
+    return _stacked(jobs.gold(spark, lake, months=late), "mart")
+
+
 def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every report set over the stored marts after a whole run."""
     lake = _landed_lake(spark, sf_dir)
@@ -280,9 +321,11 @@ def preview_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The operators on training data are a subpackage of their own and may be left out.
 _LLM: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _LLM_SQL: dict[str, str] = {}
-if importlib.util.find_spec("curbside.llm") and importlib.util.find_spec("corpus_pipeline"):
+try:
     from curbside.llm import queries as llm_queries
-
+except ImportError:
+    pass
+else:
     _LLM, _LLM_SQL = llm_queries.QUERIES, llm_queries.ORACLE_SQL
 
 # ---------------------------------------------------------------- contract
@@ -299,6 +342,9 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     silver_clean,
     silver_clean_shipments,
     silver_report,
+    silver_rules,
+    silver_rules_shipments,
+    silver_rebalanced,
     silver_by_type,
     silver_by_month,
     silver_partition_roundtrip,
@@ -312,6 +358,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     gold_roundtrip,
     gold_one_month_stored,
     gold_marts_roundtrip,
+    gold_changed_month,
     report_roundtrip,
     report_month_labels,
     report_month_table,
@@ -359,6 +406,28 @@ def _feed(trips_sql: str, period: tuple[str, str]) -> str:
     """
 
 
+def _rules(feed: str, period: tuple[str, str]) -> str:
+    start, end = period
+    broken = {
+        "period": f"pickup_ts >= TIMESTAMP '{start}' AND pickup_ts <= TIMESTAMP '{end}'",
+        "passengers": "passenger_count > 0",
+        "amount": "total_amount >= 0 AND total_amount < 10000",
+        "times": "pickup_ts IS NOT NULL AND dropoff_ts IS NOT NULL",
+        "direction": "dropoff_ts > pickup_ts",
+        "duration": "hours <= fence",
+    }
+    flags = ", ".join(
+        f"CASE WHEN {rule} THEN 0 ELSE 1 END AS b_{name}" for name, rule in broken.items()
+    )
+    number = " + ".join(f"b_{name}" for name in broken)
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, count(*) FILTER (b_{name} = 1) AS broken_rows, "
+        f"count(*) FILTER (b_{name} = 1 AND {number} = 1) AS alone_rows FROM flags"
+        for name in broken
+    )
+    return f"{feed}, flags AS (SELECT {flags} FROM timed, fence) {rows}"
+
+
 def oracle_sql() -> dict[str, str]:
     ev = _feed(EVENTS_SQL, (EVENTS.period_start, EVENTS.period_end))
     ship = _feed(SHIPMENTS_SQL, (SHIPMENTS.period_start, SHIPMENTS.period_end))
@@ -398,6 +467,14 @@ def oracle_sql() -> dict[str, str]:
         FROM raw
     """
     contract = "vendor_id, passenger_count, total_amount, pickup_ts, dropoff_ts, taxi_type"
+    marts_sql = ev + f"""
+        , by_type AS ({by_type}), by_month AS ({by_month}), by_hour AS ({by_hour}),
+        peaks AS ({peaks})
+        SELECT 'trips_by_taxi_type' AS mart, * FROM by_type
+        UNION ALL BY NAME SELECT 'avg_total_by_month' AS mart, * FROM by_month
+        UNION ALL BY NAME SELECT 'avg_passengers_by_hour' AS mart, * FROM by_hour
+        UNION ALL BY NAME SELECT 'top_hours_by_taxi_type' AS mart, * FROM peaks
+    """
     return {
         "bronze_drift_union": drifted,
         "bronze_missing_month": drifted,
@@ -429,6 +506,9 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT count(*) AS raw_rows FROM trips),
                  (SELECT count(*) AS clean_rows FROM silver)
         """,
+        "silver_rules": _rules(ev, (EVENTS.period_start, EVENTS.period_end)),
+        "silver_rules_shipments": _rules(ship, (SHIPMENTS.period_start, SHIPMENTS.period_end)),
+        "silver_rebalanced": ev + f"SELECT {contract} FROM silver",
         "silver_by_type": ev + """
             SELECT taxi_type, count(*) AS total_corridas FROM silver
             GROUP BY taxi_type ORDER BY taxi_type
@@ -455,14 +535,8 @@ def oracle_sql() -> dict[str, str]:
             FROM silver GROUP BY 1, 2, 3
         """,
         "gold_roundtrip": ev + by_type + "ORDER BY taxi_type, month",
-        "gold_marts_roundtrip": ev + f"""
-            , by_type AS ({by_type}), by_month AS ({by_month}), by_hour AS ({by_hour}),
-            peaks AS ({peaks})
-            SELECT 'trips_by_taxi_type' AS mart, * FROM by_type
-            UNION ALL BY NAME SELECT 'avg_total_by_month' AS mart, * FROM by_month
-            UNION ALL BY NAME SELECT 'avg_passengers_by_hour' AS mart, * FROM by_hour
-            UNION ALL BY NAME SELECT 'top_hours_by_taxi_type' AS mart, * FROM peaks
-        """,
+        "gold_marts_roundtrip": marts_sql,
+        "gold_changed_month": marts_sql,
         "report_roundtrip": ev + f"""
             , by_type AS ({by_type}), by_month AS ({by_month}), by_hour AS ({by_hour}),
             peaks AS ({peaks})

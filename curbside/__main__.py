@@ -24,6 +24,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--months", nargs="+", help="landed months to read, as yyyy-mm")
     parser.add_argument("--period-start", help="first pickup instant that is kept")
     parser.add_argument("--period-end", help="last pickup instant that is kept")
+    parser.add_argument("--layout", default="arrival", choices=jobs.LAYOUTS,
+                        help="how rows of the cleaned table get to its files")
+    parser.add_argument("--changed", nargs="+", type=int, metavar="yyyymm",
+                        help="replace only these months (silver needs --fence)")
+    parser.add_argument("--fence", type=float, help="hours; computed, if not given")
+    parser.add_argument("--out", help="folder on this machine for the report sets, as CSV")
+    parser.add_argument("--most", type=int, default=100_000, help="rows a report set may have")
     args = parser.parse_args(argv)
     if args.job in ("bronze", "all") and not args.landing:
         parser.error(f"{args.job} needs --landing")
@@ -42,15 +49,20 @@ def main(argv: list[str] | None = None) -> None:
         jobs.bronze_all(spark, lake)
         jobs.bronze_summary(spark, lake).show(truncate=False)
     if args.job in ("silver", "all"):
-        run = jobs.silver(spark, lake)
+        run = jobs.silver(
+            spark, lake, layout=args.layout, months=args.changed, fence=args.fence
+        )
         run.by_source.show()
         run.by_month.show()
     if args.job in ("gold", "all"):
-        jobs.gold(spark, lake, show=True)
+        jobs.gold(spark, lake, show=True, months=args.changed)
     if args.job == "report":
-        for name, table in jobs.report(spark, lake).items():
+        sets = jobs.report(spark, lake)
+        for name, table in sets.items():
             print(name)
             table.show(truncate=False)
+        if args.out:
+            jobs.write_reports(sets, args.out, args.most)
 
 
 if __name__ == "__main__":

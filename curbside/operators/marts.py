@@ -65,14 +65,15 @@ def rollup_basis() -> Basis:
     )
 
 
-def hourly_rollup(trips: DataFrame, spec: TripSpec = DEFAULT_SPEC) -> DataFrame:
-    """Partial sums per source, month and hour: at most 12 * 24 rows per source.
+def hourly_rollup(trips: DataFrame, spec: TripSpec = DEFAULT_SPEC, *keys: str) -> DataFrame:
+    """Partial sums per source, month and hour (and further `keys`): at most 12 * 24 rows
+    per source.
 
     Everything the marts need, in one scan. Map-side combining reduces every task
     to that many rows before the shuffle, however unevenly sources are filled.
     """
     return trips.groupBy(
-        spec.source, F.month(spec.pickup).alias(MONTH), F.hour(spec.pickup).alias(HOUR)
+        spec.source, *keys, F.month(spec.pickup).alias(MONTH), F.hour(spec.pickup).alias(HOUR)
     ).agg(
         F.count("*").alias("trips"),
         F.sum(spec.amount).alias("amount_sum"),

@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbside.functions.quantiles import discrete_quantiles
+from curbside.functions.quantiles import approximate_quantiles, discrete_quantiles
 from curbside.functions.time import duration_hours, duration_seconds
 from curbside.spec import DEFAULT_SPEC, MONTH, TOTAL_LABEL, TRIPS, TripSpec
 
 
-# Instants are 64-bit microseconds, so the seconds between two of them fit 46 bits.
-_DURATION_BITS = 46
-
-
 class EmptyPopulationError(ValueError):
     """There is no trip to compute the fence from."""
 
@@ -48,35 +44,33 @@ def fence_stats(
 
     `fence = p75 + factor * (p75 - p25)`. Both methods return observed durations.
 
-    * ``exact``: the smallest duration whose cumulative share reaches the quartile.
-      The result does not depend on how rows are spread over tasks, so a rerun or a
-      lost executor cannot move the fence, and no single task merges the input.
-    * ``approx``: `percentile_approx` with rank error 1 / `accuracy`.
+    * ``exact``: the smallest duration whose cumulative share reaches the quartile, found
+      by a job that runs here. The result does not depend on how rows are spread over
+      tasks, so a rerun or a lost executor cannot move the fence, and no single task
+      merges the input.
+    * ``approx``: KLL sketches merged in stages, rank error 1 / `accuracy` (see
+      `approximate_quantiles`). Nothing runs before the row is asked for.
     """
-    population = fence_population(df, spec)
+    population, shares = fence_population(df, spec), {"p25": 0.25, "p75": 0.75}
     if method == "exact":
-        quartiles = discrete_quantiles(
-            population, duration_seconds(spec), {"p25": 0.25, "p75": 0.75}, _DURATION_BITS
-        ).select((F.col("p25") / 3600).alias("p25"), (F.col("p75") / 3600).alias("p75"))
+        quartiles = discrete_quantiles(population, duration_seconds(spec), shares)
     elif method == "approx":
-        hours = duration_hours(spec)
-        quartiles = population.agg(
-            F.percentile_approx(hours, 0.25, accuracy).alias("p25"),
-            F.percentile_approx(hours, 0.75, accuracy).alias("p75"),
-        )
+        quartiles = approximate_quantiles(population, duration_seconds(spec), shares, accuracy)
     else:
         raise ValueError(f"unknown quartile method: {method!r}")
+    quartiles = quartiles.select(*((F.col(name) / 3600).alias(name) for name in shares))
     fence = F.col("p75") + F.lit(spec.fence_factor) * (F.col("p75") - F.col("p25"))
     return quartiles.withColumn("fence", fence)
 
 
-def lazy_fence(df: DataFrame, spec: TripSpec = DEFAULT_SPEC, **how) -> Column:
-    """The fence as a scalar subquery, for use inside a larger plan."""
-    return fence_stats(df, spec, **how).select("fence").scalar()
+def fence_column(df: DataFrame, spec: TripSpec = DEFAULT_SPEC, **how) -> Column:
+    """The fence for use inside a larger plan: a number found by a job that runs here, null
+    if there is no trip to compute it from."""
+    return F.lit(fence_stats(df, spec, **how).first()["fence"]).cast("double")
 
 
 def iqr_fence(df: DataFrame, spec: TripSpec = DEFAULT_SPEC, **how) -> float:
-    """The fence as a number. Runs one job that returns one row."""
+    """The fence as a number."""
     fence = fence_stats(df, spec, **how).first()["fence"]
     if fence is None:
         raise EmptyPopulationError(
@@ -85,27 +79,27 @@ def iqr_fence(df: DataFrame, spec: TripSpec = DEFAULT_SPEC, **how) -> float:
     return fence
 
 
-def is_clean(fence: float | Column, spec: TripSpec = DEFAULT_SPEC) -> Column:
-    """All quality rules in one predicate. `fence` (hours) is inclusive.
+def rules(fence: float | Column, spec: TripSpec = DEFAULT_SPEC) -> dict[str, Column]:
+    """The quality rules by name. `fence` (hours) is inclusive.
 
     A null in a tested column makes its rule null, which removes the row. NaN sorts
     above every number, so a NaN passenger count passes and a NaN amount does not.
     """
     passengers, amount = F.col(spec.passengers), F.col(spec.amount)
     limit = fence if isinstance(fence, Column) else F.lit(float(fence))
-    rules = [
-        in_period(spec),
-        passengers.isNotNull(),
-        passengers > 0,
-        amount.isNotNull(),
-        amount >= 0,
-        amount < spec.amount_limit,
-        F.col(spec.pickup).isNotNull(),
-        F.col(spec.dropoff).isNotNull(),
-        runs_forward(spec),
-        duration_hours(spec) <= limit,
-    ]
-    return reduce(and_, rules)
+    return {
+        "period": in_period(spec),
+        "passengers": passengers.isNotNull() & (passengers > 0),
+        "amount": amount.isNotNull() & (amount >= 0) & (amount < spec.amount_limit),
+        "times": F.col(spec.pickup).isNotNull() & F.col(spec.dropoff).isNotNull(),
+        "direction": runs_forward(spec),
+        "duration": duration_hours(spec) <= limit,
+    }
+
+
+def is_clean(fence: float | Column, spec: TripSpec = DEFAULT_SPEC) -> Column:
+    """All quality rules in one predicate."""
+    return reduce(and_, rules(fence, spec).values())
 
 
 def clean(df: DataFrame, fence: float | Column, spec: TripSpec = DEFAULT_SPEC) -> DataFrame:
@@ -131,6 +125,36 @@ def cleaning_report(
     )
 
 
+def rule_counts(fence: float | Column, spec: TripSpec = DEFAULT_SPEC) -> list[Column]:
+    """Aggregates over raw trips: raw_rows, clean_rows, and per rule the rows that break it
+    (`<rule>_broken`; a null counts as broken) and those that break no other (`<rule>_alone`)."""
+    broken = {
+        name: ~F.coalesce(rule, F.lit(False)) for name, rule in rules(fence, spec).items()
+    }
+    number = reduce(add, (b.cast("int") for b in broken.values()))
+    return [
+        F.count("*").alias("raw_rows"),
+        F.count_if(number == 0).alias("clean_rows"),
+        *(F.count_if(b).alias(f"{name}_broken") for name, b in broken.items()),
+        *(F.count_if(b & (number == 1)).alias(f"{name}_alone") for name, b in broken.items()),
+    ]
+
+
+def rule_report(
+    df: DataFrame, fence: float | Column, spec: TripSpec = DEFAULT_SPEC
+) -> DataFrame:
+    """One row per rule, from one pass: rule, broken_rows, alone_rows."""
+    names = rules(0.0, spec)
+    rows = F.array(*(
+        F.struct(
+            F.lit(name).alias("rule"), F.col(f"{name}_broken").alias("broken_rows"),
+            F.col(f"{name}_alone").alias("alone_rows"),
+        )
+        for name in names
+    ))
+    return df.agg(*rule_counts(fence, spec)).select(F.inline(rows))
+
+
 def trips_by_source(df: DataFrame, spec: TripSpec = DEFAULT_SPEC) -> DataFrame:
     """Rows per source."""
     return df.groupBy(spec.source).agg(F.count("*").alias(TRIPS)).orderBy(spec.source)

@@ -6,16 +6,19 @@ from curbside.plans.jobs import (
     Lake,
     LakeRun,
     NoMartsError,
+    RuleCount,
     SilverRun,
     bronze_all,
     bronze_source,
     bronze_summary,
     gold,
     read_mart,
+    read_rollup,
     read_silver,
     report,
     run_all,
     silver,
+    write_reports,
 )
 
 __all__ = [
@@ -24,14 +27,17 @@ __all__ = [
     "Lake",
     "LakeRun",
     "NoMartsError",
+    "RuleCount",
     "SilverRun",
     "bronze_all",
     "bronze_source",
     "bronze_summary",
     "gold",
     "read_mart",
+    "read_rollup",
     "read_silver",
     "report",
     "run_all",
     "silver",
+    "write_reports",
 ]

@@ -4,9 +4,12 @@ failed run is resumed by running its layer again."""
 from __future__ import annotations
 
 import logging
+import os
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import csv
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +23,16 @@ from curbside.operators.marts import (
     mart_schema,
     rollup_basis,
 )
-from curbside.sources import is_stored, overwrite_table, preview, read_table, scan_landing
+from curbside.sources import (
+    hand_over,
+    is_stored,
+    overwrite_table,
+    own_session,
+    preview,
+    read_table,
+    scan_landing,
+    side_by_side,
+)
 from curbside.spec import DEFAULT_SPEC, TripSpec
 
 log = logging.getLogger(__name__)
@@ -87,26 +99,30 @@ class BronzeRun:
 def bronze_source(spark: SparkSession, lake: Lake, source: str) -> tuple[int, tuple[str, ...]]:
     """Store one source's landed months as its raw table.
 
-    Returns the stored rows and the skipped months. The count comes from the
-    footers of the written table, so the landed files are scanned once.
+    Returns the stored rows, counted as they were written, and the skipped months.
     """
     scan = scan_landing(spark, lake.landing, source, lake.spec)
-    path = lake.bronze(source)
-    overwrite_table(scan.trips, path, lake.fmt, inputs=scan.paths)
-    return read_table(spark, path, lake.fmt).count(), scan.missing
+    stored = Observation(f"raw {source}")
+    rows = scan.trips.observe(stored, F.count("*").alias("rows"))
+    overwrite_table(rows, lake.bronze(source), lake.fmt, inputs=scan.paths)
+    return stored.get.get("rows", 0), scan.missing
 
 
 def bronze_all(spark: SparkSession, lake: Lake) -> BronzeRun:
-    """Every source in turn. A failing source does not stop the next one, but the
-    run as a whole then fails with `BronzeError`."""
+    """Every source, all at once, each in a session of its own. A failing source does not
+    stop the others, but the run as a whole then fails with `BronzeError`."""
     run = BronzeRun()
-    for source in lake.spec.sources:
-        try:
-            run.rows[source], run.missing[source] = bronze_source(spark, lake, source)
+    results = side_by_side(spark, {
+        source: lambda source=source: bronze_source(own_session(spark), lake, source)
+        for source in lake.spec.sources
+    })
+    for source, result in results.items():
+        if isinstance(result, Exception):  # reported for the whole run below
+            log.error("%s failed", source, exc_info=result)
+            run.failed[source] = result
+        else:
+            run.rows[source], run.missing[source] = result
             log.info("%s: %d rows", source, run.rows[source])
-        except Exception as error:  # reported for the whole run below
-            log.exception("%s failed", source)
-            run.failed[source] = error
     if run.failed:
         raise BronzeError(run)
     return run
@@ -155,7 +171,7 @@ def split_for(width: int, kept: int, file_bytes: int = FILE_BYTES) -> int:
     return file_bytes * max(width, kept) // kept
 
 
-def _silver_split(spark: SparkSession, lake: Lake) -> int:
+def _silver_split(spark: SparkSession, lake: Lake, file_bytes: int) -> int:
     # By the types' nominal widths; the widest source decides, its files being the smallest.
     def width(schema: T.StructType) -> int:
         sizes = {T.StringType: 20, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4}
@@ -163,17 +179,27 @@ def _silver_split(spark: SparkSession, lake: Lake) -> int:
 
     stored = [read_table(spark, lake.bronze(s), lake.fmt).schema for s in lake.spec.sources]
     # The source is a partition's name, not a stored column.
-    return split_for(max(map(width, stored)), width(lake.spec.contract_schema()) - 20)
+    kept = width(lake.spec.contract_schema()) - 20
+    return split_for(max(map(width, stored)), kept, file_bytes)
+
+
+@dataclass(frozen=True)
+class RuleCount:
+    """Raw rows that break a rule, and those of them that break no other."""
+
+    broken: int
+    alone: int
 
 
 @dataclass(frozen=True)
 class SilverRun:
-    """The fence used and the row counts around it, plus two distributions of the
-    stored table."""
+    """The fence used and the row counts around it, in all and by rule, plus two
+    distributions of the stored table."""
 
     fence: float
     raw_rows: int
     clean_rows: int
+    rules: dict[str, RuleCount]
     by_source: DataFrame
     by_month: DataFrame
 
@@ -189,38 +215,82 @@ class SilverRun:
         return (2000 * self.removed_rows + self.raw_rows) // (2 * self.raw_rows) / 10
 
 
-def silver(spark: SparkSession, lake: Lake, **how) -> SilverRun:
-    """Raw tables -> one cleaned table partitioned by source.
+#: How rows of the cleaned table get to its files.
+LAYOUTS = ("arrival", "rebalance")
+
+
+def silver(
+    spark: SparkSession,
+    lake: Lake,
+    layout: str = "arrival",
+    months: Sequence[int] | None = None,
+    fence: float | None = None,
+    file_bytes: int = FILE_BYTES,
+    **how,
+) -> SilverRun:
+    """Raw tables -> one cleaned table partitioned by source and month.
 
     Two passes over the data: the quartiles (two timestamp columns), then filter and
-    write. Both counts are footer-only. Rows stay in the task that read them, so
-    files keep the months they arrived in, and a task meets few partitions. A task reads
-    as much as makes a file of about `FILE_BYTES` of the columns that are kept. `how` goes to the fence (`method`, `accuracy`).
+    write. Rows are counted in the write, rule by rule; no job does it afterwards.
+
+    * ``arrival``: rows stay in the task that read them, so files keep the months they
+      arrived in, and a task meets few partitions. A task reads as much as makes a file of
+      about `file_bytes` of the columns that are kept. Right for files that landed by month.
+    * ``rebalance``: one shuffle by source and month, in parts of about a file each however
+      full a month is, ordered by pickup. For rows that arrive late or mixed, which would
+      otherwise make a small file per task, source and month, with ranges that skip nothing.
+
+    With `months` (as 202305), only those are replaced, from the raw trips of those months;
+    they need the `fence` that the others were cleaned with. Otherwise a `fence` that is
+    given is used as it is, and one that isn't is computed; `how` goes to it (`method`, `accuracy`).
     """
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}: one of {', '.join(LAYOUTS)}")
+    if months is not None and fence is None:
+        raise ValueError("single months are cleaned with the fence of the others: give it")
     spec = lake.spec
-    raw = conformed(spark, lake)
-    fence = quality.iqr_fence(raw, spec, **how)
+    own = own_session(spark)
+    raw = conformed(own, lake)
+    if months is not None:
+        raw = raw.filter(_pickup_month(spec).isin(list(months)))
+    if fence is None:
+        fence = quality.iqr_fence(raw, spec, **how)
     log.info("duration fence: %.4f h (%.1f min)", fence, fence * 60)
+    counts = Observation("cleaned")
+    seen = raw.observe(counts, *quality.rule_counts(fence, spec))
+    rows = quality.clean(seen, fence, spec).withColumn(PICKUP_MONTH, _pickup_month(spec))
+    parts = [spec.source, PICKUP_MONTH]
+    if layout == "rebalance":
+        rows = rows.hint("rebalance", *parts).sortWithinPartitions(*parts, spec.pickup)
     overwrite_table(
-        quality.clean(raw, fence, spec).withColumn(PICKUP_MONTH, _pickup_month(spec)),
+        rows,
         lake.silver,
         lake.fmt,
-        partition_by=[spec.source, PICKUP_MONTH],
+        partition_by=parts,
         inputs=[lake.bronze(source) for source in spec.sources],
         open_partitions=len(spec.sources) * max(len(spec.landing_months), 1),
-        split_bytes=_silver_split(spark, lake),
+        split_bytes=_silver_split(own, lake, file_bytes) if layout == "arrival" else None,
+        # A shuffled row is about twice as wide as a stored one.
+        shuffled_bytes=2 * file_bytes if layout == "rebalance" else None,
+        partitions_only=months is not None,
     )
     stored = read_silver(spark, lake)
+    found = counts.get
     run = SilverRun(
         fence=fence,
-        raw_rows=raw.count(),
-        clean_rows=stored.count(),
+        raw_rows=found.get("raw_rows", 0),
+        clean_rows=found.get("clean_rows", 0),
+        rules={
+            rule: RuleCount(found.get(f"{rule}_broken", 0), found.get(f"{rule}_alone", 0))
+            for rule in quality.rules(fence, spec)
+        },
         by_source=quality.trips_by_source(stored, spec),
         by_month=quality.trips_by_month(stored, spec),
     )
     log.info(
-        "raw %d, clean %d, removed %d (%s %%)",
+        "raw %d, clean %d, removed %d (%s %%); broken rules: %s",
         run.raw_rows, run.clean_rows, run.removed_rows, run.removed_pct,
+        ", ".join(f"{rule} {n.broken} ({n.alone} alone)" for rule, n in run.rules.items()),
     )
     return run
 
@@ -235,27 +305,75 @@ def read_mart(spark: SparkSession, lake: Lake, name: str) -> DataFrame:
     return table.coalesce(1).orderBy(*mart_order(name, lake.spec))
 
 
-def gold(spark: SparkSession, lake: Lake, show: bool = False) -> dict[str, DataFrame]:
+def _store_rollup(spark: SparkSession, lake: Lake, months: Sequence[int] | None) -> None:
+    spec = lake.spec
+    trips = read_table(spark, lake.silver, lake.fmt)
+    if months is not None:
+        trips = trips.filter(F.col(PICKUP_MONTH).isin(list(months)))
+    rows = hourly_rollup(trips, spec, PICKUP_MONTH)
+    if months is not None:
+        # A month without trips any more is replaced by a row of none.
+        every = F.array(*(F.lit(m) for m in months))
+        for source in spec.sources:
+            none = spark.range(1).select(
+                F.lit(source).alias(spec.source), F.explode(every).alias(PICKUP_MONTH),
+                F.lit(0).cast("bigint").alias("trips"),
+            )
+            rows = rows.unionByName(none, allowMissingColumns=True)
+    overwrite_table(
+        rows, lake.rollup, lake.fmt, partition_by=[spec.source, PICKUP_MONTH],
+        inputs=[lake.silver], partitions_only=months is not None,
+    )
+
+
+def read_rollup(spark: SparkSession, lake: Lake) -> DataFrame:
+    """The stored rollup as one partition: at most 24 rows per source and month."""
+    return read_table(spark, lake.rollup, lake.fmt).filter("trips > 0").coalesce(1)
+
+
+def gold(
+    spark: SparkSession, lake: Lake, show: bool = False, months: Sequence[int] | None = None
+) -> dict[str, DataFrame]:
     """Cleaned table -> the four marts, scanning the trips once.
 
-    The hourly rollup is stored first; the marts are derived from its few hundred
-    rows (at most 12 * 24 per source), read as one partition. Previews read the
-    stored marts.
+    The hourly rollup is stored first, by source and month; the marts are derived from its
+    few hundred rows, all at once. With `months` (as 202305), only those are scanned and
+    replaced in a rollup that an earlier run stored. Previews read the stored marts.
     """
-    trips = read_silver(spark, lake)
-    overwrite_table(hourly_rollup(trips, lake.spec), lake.rollup, lake.fmt, inputs=[lake.silver])
-    rollup = read_table(spark, lake.rollup, lake.fmt).coalesce(1)
-    written = {}
-    for name, mart in MARTS.items():
-        result = mart(rollup, lake.spec, rollup_basis())
+    _store_rollup(spark, lake, months)
+    rollup = read_rollup(spark, lake)
+
+    def store(name: str) -> None:
+        result = MARTS[name](rollup, lake.spec, rollup_basis())
         overwrite_table(result, lake.gold(name), lake.fmt, inputs=[lake.silver])
-        written[name] = read_mart(spark, lake, name)
         log.info("stored %s", lake.gold(name))
-        if show:
-            preview(written[name]).show(truncate=False)
+
+    for error in side_by_side(spark, {n: lambda n=n: store(n) for n in MARTS}).values():
+        if error is not None:
+            raise error
+    written = {name: read_mart(spark, lake, name) for name in MARTS}
+    if show:
+        for mart in written.values():
+            preview(mart).show(truncate=False)
     return written
 
 
+#: The report sets that are not marts.
+REPORTS = ("month_table", "hour_table", "type_table", "kpis", "side_by_side", "hour_facets")
+
+
+def write_reports(sets: dict[str, DataFrame], folder: str, most: int = 100_000) -> list[str]:
+    """Each report set as a CSV file in a folder of the driver's machine. One of more than
+    `most` rows is an error, raised before any file is written."""
+    tables = {name: hand_over(sets[name], most) for name in REPORTS}
+    os.makedirs(folder, exist_ok=True)
+    paths = []
+    for name, table in tables.items():
+        paths.append(os.path.join(folder, f"{name}.csv"))
+        csv.write_csv(table, paths[-1])
+    return paths
+
+
 def report(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
     """Every report set, over the stored marts. One that was not stored counts as empty;
     `NoMartsError` if none was."""

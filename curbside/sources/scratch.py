@@ -10,11 +10,20 @@ _SHARED = "spark.checkpoint.dir"
 _WAREHOUSE = "spark.sql.warehouse.dir"
 
 
+class NoSharedFolderError(RuntimeError):
+    """A cluster's session does not say which folder all machines reach."""
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The application's folder below `spark.checkpoint.dir`, or below the warehouse (the
-    other folder that every executor reaches) in a session without that setting. The
-    file system removes it when the session's JVM ends."""
-    shared = spark.conf.get(_SHARED, None) or f"{spark.conf.get(_WAREHOUSE).rstrip('/')}/_scratch"
+    """The application's folder below `spark.checkpoint.dir`. A session without that setting
+    gets one below its warehouse if it is local, and an error on a cluster, where the
+    warehouse may be the driver's own disk. The file system removes the folder when the
+    session's JVM ends."""
+    shared = spark.conf.get(_SHARED, None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolderError(f"set {_SHARED} to a folder that all machines reach")
+        shared = f"{spark.conf.get(_WAREHOUSE).rstrip('/')}/_scratch"
     root = f"{shared.rstrip('/')}/curbside-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -57,3 +58,16 @@ def from_rows(
 def preview(df: DataFrame, rows: int = 20) -> DataFrame:
     """The first rows, for display. The stored table is never cut."""
     return df.limit(rows)
+
+
+class TooManyRowsError(ValueError):
+    """A result is larger than the caller is ready to take over."""
+
+
+def hand_over(df: DataFrame, most: int = 100_000) -> pa.Table:
+    """The whole result as an Arrow table on the driver, `most` rows at most. A larger one
+    is an error, never a part: one row beyond the bound is asked for to tell."""
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise TooManyRowsError(f"more than {most} rows: write the result as a table instead")
+    return table

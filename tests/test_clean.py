@@ -127,4 +127,4 @@ def test_distributions(spark):
     rows = [trip(), trip(source="green"), trip(pickup=datetime(2023, 1, 2)), trip()]
     df = frame(spark, rows)
     assert [tuple(r) for r in trips_by_source(df).collect()] == [("green", 1), ("yellow", 3)]
-    assert [tuple(r) for r in trips_by_month(df).collect()] == [(1, 1), (3, 3)]
+    assert [tuple(r) for r in trips_by_month(df).collect()] == [(1, 1), (4, 3)]

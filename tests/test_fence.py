@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from rows import frame, trip
 
-from curbside.functions import discrete_quantiles, duration_hours
+from curbside.functions import discrete_quantiles, duration_hours, quantiles
 from curbside.operators.quality import (
     EmptyPopulationError,
     clean,
     fence_stats,
     iqr_fence,
-    lazy_fence,
+    fence_column,
 )
 from curbside.spec import DEFAULT_SPEC
 from curbside.testbed import EVENTS, SHIPMENTS, trips_from_events, trips_from_shipments
@@ -62,14 +62,47 @@ def test_quantiles_equal_brute_force(spark, name):
     assert got == {key: observed(values, p) for key, p in PROBS.items()}
 
 
-@pytest.mark.parametrize(("bits", "level_bits"), [(64, 23), (64, 16), (46, 23), (31, 8), (8, 8)])
-def test_levels_do_not_change_the_result(spark, bits, level_bits):
-    values = VALUES["both signs, log spread"]
+@pytest.mark.parametrize("level_bits", [23, 16, 12])
+@pytest.mark.parametrize("name", ["both signs, log spread", "largest", "signs"])
+def test_levels_do_not_change_the_result(spark, name, level_bits):
+    values = VALUES[name]
     df = spark.createDataFrame([(v,) for v in values], "x bigint")
-    got = discrete_quantiles(df, F.col("x"), PROBS, bits, level_bits).first().asDict()
+    got = discrete_quantiles(df, F.col("x"), PROBS, level_bits).first().asDict()
     assert got == {key: observed(values, p) for key, p in PROBS.items()}
 
 
+def test_buckets_lie_apart_and_hold_their_values(spark):
+    """Around every limit of a class of buckets, on both sides of zero."""
+    limits = [0, *(2**k for k in range(1, 63)), 2**63 - 1]
+    values = sorted({s * v + d for v in limits for s in (1, -1) for d in (-1, 0, 1)})
+    values = [v for v in values if -(2**63) <= v < 2**63]
+    df = spark.createDataFrame([(v,) for v in values], "x bigint")
+    for level_bits in (12, 14, 23):
+        rows = quantiles.sketch(df, F.col("x"), level_bits).orderBy("low").collect()
+        ends = [r.low + 2**r.shift for r in rows]
+        assert all(end <= after.low for end, after in zip(ends, rows[1:]))
+        for row, end in zip(rows, ends):
+            assert row.n == sum(row.low <= v < end for v in values)
+        assert sum(r.n for r in rows) == len(values)
+        alone = 2 ** (level_bits - 2)
+        assert all(r.shift == 0 for r in rows if -alone <= r.low < alone)
+
+
+@pytest.fixture
+def levels(monkeypatch):
+    """The plans of all levels of a descent."""
+    made = []
+    for name in ("_bracket", "inside"):
+        real = getattr(quantiles, name)
+
+        def record(*args, real=real):
+            made.append(real(*args))
+            return made[-1]
+
+        monkeypatch.setattr(quantiles, name, record)
+    return made
+
+
 def _ordered_rows(df):
     """Rows that reached each window of an executed plan."""
     todo, rows = [df._jdf.queryExecution().executedPlan()], []
@@ -89,15 +122,57 @@ def _ordered_rows(df):
     return rows
 
 
-def test_clustered_values_are_not_ordered_in_one_task(spark):
+def test_clustered_values_are_not_ordered_in_one_task(spark, levels):
     """200,000 epoch seconds in a row: no window orders all of them."""
     start = 1_700_000_000
     df = discrete_quantiles(
-        spark.range(start, start + 200_000), F.col("id"), {"a": 0.25, "b": 0.75}, 46, 12
+        spark.range(start, start + 200_000), F.col("id"), {"a": 0.25, "b": 0.75}, 12
     )
     assert tuple(df.collect()[0]) == (start + 49_999, start + 149_999)
-    ordered = _ordered_rows(df)
-    assert len(ordered) >= 4 and max(ordered) <= 2 * 2**12
+    ordered = [rows for level in levels for rows in _ordered_rows(level)]
+    assert len(levels) >= 2 and len(ordered) >= 3 and max(ordered) <= 2 * 2**12
+
+
+def test_durations_of_days_take_one_level(spark, levels):
+    df = spark.range(100_000).select((F.col("id") * 37 % 2_000_000).alias("x"))
+    assert discrete_quantiles(df, F.col("x"), {"a": 0.5}).first().a is not None
+    assert len(levels) == 1
+
+
+def test_approximate_merges_are_bounded(spark):
+    """300 tasks: the last merge sees at most as many sketches as the stage before leaves."""
+    df = spark.range(0, 60_000, 1, 300)
+    found = quantiles.approximate_quantiles(df, F.col("id"), {"a": 0.25, "b": 0.75}, 1000)
+    assert all(abs(v / 60_000 - p) <= 1 / 1000 for v, p in zip(found.first(), (0.25, 0.75)))
+    found.collect()
+    rows = _shuffled_rows(found)
+    assert len(rows) == 3 and rows[0] <= 64 and rows[1] <= 4096 and rows[2] == 300
+
+
+def _shuffled_rows(df):
+    """Rows of each exchange of an executed plan, last first."""
+    todo, rows = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop(0)
+        kind = node.getClass().getSimpleName()
+        if kind.startswith("ShuffleQueryStage"):
+            rows.append(node.getRuntimeStatistics().rowCount().get())
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_sketch_sizes():
+    assert quantiles.kll_size(1) == 8
+    assert quantiles.kll_size(100) < quantiles.kll_size(1000) < quantiles.kll_size(10**6) == 65535
+
+
+@pytest.mark.parametrize("method", ["exact", "approx"])
+def test_nothing_has_no_quartiles(spark, method):
+    assert tuple(fence_stats(frame(spark, []), method=method).first()) == (None, None, None)
 
 
 @settings(max_examples=8, deadline=None, derandomize=True)
@@ -157,7 +232,7 @@ def test_nothing_to_measure(spark):
     df = frame(spark, [trip(minutes=-5)])
     with pytest.raises(EmptyPopulationError, match="2023-01-01"):
         iqr_fence(df)
-    assert clean(df, lazy_fence(df)).count() == 0
+    assert clean(df, fence_column(df)).count() == 0
 
 
 def test_unknown_method(spark):
@@ -168,7 +243,7 @@ def test_unknown_method(spark):
 def test_lazy_and_eager_agree(spark, sf_small):
     trips = trips_from_events(spark, sf_small)
     eager = clean(trips, iqr_fence(trips, EVENTS), EVENTS)
-    lazy = clean(trips, lazy_fence(trips, EVENTS), EVENTS)
+    lazy = clean(trips, fence_column(trips, EVENTS), EVENTS)
     assert eager.count() == lazy.count() == 545
 
 

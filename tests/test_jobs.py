@@ -173,7 +173,7 @@ def test_command_line(spark, tmp_path, capsys, caplog):
     assert shown.count("TOTAL") == 2  # `bronze` and `all`
     assert "Mês" in shown and "yellow_total_corridas" in shown
     lake = jobs.Lake(root=where[1], landing=where[3])
-    assert _rows(jobs.read_mart(spark, lake, "avg_total_by_month")) == [(1, 15.5, 3), (5, 15.5, 3)]
+    assert _rows(jobs.read_mart(spark, lake, "avg_total_by_month")) == [(1, 42.25, 3), (5, 42.25, 3)]
 
 
 def test_command_line_sets_months_and_period(spark, tmp_path):

@@ -17,7 +17,7 @@ from curbside.operators.marts import (
     top_hours_by_taxi_type,
     trips_by_taxi_type,
 )
-from curbside.operators.quality import clean, lazy_fence
+from curbside.operators.quality import clean, fence_column
 from curbside.spec import DEFAULT_SPEC
 from curbside.testbed import EVENTS, trips_from_events
 
@@ -32,7 +32,7 @@ def _rows(df):
 def test_avg_total_by_month(spark):
     rows = [trip(amount=10.0), trip(amount=10.25), trip(pickup=JAN, amount=1.0)]
     rows.append(trip(amount=99.0, source="green"))
-    assert _rows(avg_total_by_month(frame(spark, rows))) == [(1, 1.0, 1), (3, 10.13, 2)]
+    assert _rows(avg_total_by_month(frame(spark, rows))) == [(1, 1.0, 1), (4, 10.13, 2)]
 
 
 def test_avg_passengers_by_hour_takes_all_sources_of_the_month(spark):
@@ -49,7 +49,7 @@ def test_the_month_of_every_year_of_the_period(spark):
     spec = replace(DEFAULT_SPEC, period_start="2021-03-01", period_end="2023-12-31")
     rows = [trip(pickup=datetime(year, 5, 31, 23, 59)) for year in (2021, 2022, 2023)]
     rows += [trip(pickup=datetime(year, 6, 1)) for year in (2021, 2022, 2023)]
-    assert _rows(avg_passengers_by_hour(frame(spark, rows), spec)) == [(23, 2.0, 3)]
+    assert _rows(avg_passengers_by_hour(frame(spark, rows), spec)) == [(23, 3.0, 3)]
 
 
 def test_the_month_counts_in_any_year_of_any_input(spark):
@@ -58,22 +58,22 @@ def test_the_month_counts_in_any_year_of_any_input(spark):
     rows = [trip(pickup=datetime(year, 5, day)) for year in years for day in (1, 31)]
     rows += [trip(pickup=datetime(2023, 5, 31, 12))]
     rows += [trip(pickup=datetime(year, month, 1)) for year in years for month in (4, 6)]
-    assert _rows(avg_passengers_by_hour(frame(spark, rows))) == [(0, 2.0, 8), (12, 2.0, 1)]
+    assert _rows(avg_passengers_by_hour(frame(spark, rows))) == [(0, 3.0, 8), (12, 3.0, 1)]
 
 
 @pytest.mark.parametrize("month", [1, 6, 12])
 def test_any_month_may_be_asked_for(spark, month):
     spec = replace(DEFAULT_SPEC, period_end="2023-12-31", passengers_month=month)
     rows = [trip(pickup=datetime(2023, m, 1, m)) for m in range(1, 13)]
-    assert _rows(avg_passengers_by_hour(frame(spark, rows), spec)) == [(month, 2.0, 1)]
+    assert _rows(avg_passengers_by_hour(frame(spark, rows), spec)) == [(month, 3.0, 1)]
 
 
 def test_trips_by_type(spark):
-    rows = [trip(), trip(passengers=3.0), trip(pickup=JAN), trip(source="green", amount=1.0)]
+    rows = [trip(), trip(passengers=4.0), trip(pickup=JAN), trip(source="green", amount=1.0)]
     assert _rows(trips_by_taxi_type(frame(spark, rows))) == [
-        ("green", 3, 1, 1.0, 2.0),
-        ("yellow", 1, 1, 15.5, 2.0),
-        ("yellow", 3, 2, 15.5, 2.5),
+        ("green", 4, 1, 1.0, 3.0),
+        ("yellow", 1, 1, 42.25, 3.0),
+        ("yellow", 4, 2, 42.25, 3.5),
     ]
 
 
@@ -88,7 +88,7 @@ def test_peak_hours_rank_all_hours_and_break_ties_by_hour(spark):
 @pytest.mark.parametrize("name", MARTS)
 def test_rollup_gives_the_same_marts(spark, sf_check, name):
     trips = trips_from_events(spark, sf_check)
-    silver = clean(trips, lazy_fence(trips, EVENTS), EVENTS)
+    silver = clean(trips, fence_column(trips, EVENTS), EVENTS)
     direct = MARTS[name](silver, EVENTS)
     derived = MARTS[name](hourly_rollup(silver, EVENTS), EVENTS, rollup_basis())
     assert _rows(direct) == _rows(derived)
@@ -116,7 +116,7 @@ def test_nulls_and_nan_average_alike(spark, name):
 
 def test_marts_count_every_trip_whatever_the_partitioning(spark, sf_small):
     trips = trips_from_events(spark, sf_small)
-    silver = clean(trips, lazy_fence(trips, EVENTS), EVENTS)
+    silver = clean(trips, fence_column(trips, EVENTS), EVENTS)
     for name in ("trips_by_taxi_type", "top_hours_by_taxi_type"):
         total = MARTS[name](silver, EVENTS).agg(F.sum("total_corridas")).first()[0]
         assert total == silver.count() == 545

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from rows import frame, plan, trip
 
 import __spark_entry__ as entry
-from curbside.functions import discrete_quantiles, duration_seconds
+from curbside.functions import duration_seconds, quantiles
 from curbside.operators import marts, quality
 from curbside.plans import jobs
 from curbside.sources import overwrite_table
@@ -50,19 +50,20 @@ def test_rules_reach_the_raw_scan(spark, lake):
 
 
 def test_fence_scans_the_two_times_once(spark, lake):
-    text = plan(quality.fence_stats(jobs.conformed(spark, lake)))
+    population = quality.fence_population(jobs.conformed(spark, lake))
+    text = plan(quantiles.sketch(population, duration_seconds(DEFAULT_SPEC), 23))
+    assert len(_scans(text)) == 2  # one for each raw table
     for scan in _scans(text):
         assert re.search(r"ReadSchema: (.*)", scan)[1] == (
             "struct<tpep_pickup_datetime:timestamp,tpep_dropoff_datetime:timestamp>"
         )
 
 
-def test_histogram_is_shuffled_once(spark, lake):
+def test_sketch_combines_before_its_only_shuffle(spark, lake):
     silver = jobs.read_silver(spark, lake)
-    df = discrete_quantiles(silver, duration_seconds(DEFAULT_SPEC), {"a": 0.25, "b": 0.75})
-    df.collect()
-    final = plan(df).split("== Initial Plan ==")[0]
-    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+    text = plan(quantiles.sketch(silver, duration_seconds(DEFAULT_SPEC), 23))
+    assert len(_scans(text)) == 1 and "partial_count(1)" in text
+    assert len(re.findall(r"\n\(\d+\) Exchange", text)) == 1
 
 
 def test_one_source_reads_one_partition(spark, lake):
@@ -100,7 +101,7 @@ def test_one_month_skips_the_others(spark, tmp_path, flavour):
         overwrite_table(by_month, lake.bronze(source))
     jobs.silver(spark, lake)
     df = marts.avg_passengers_by_hour(jobs.read_silver(spark, lake, month=5))
-    assert [tuple(r) for r in df.collect()] == [(0, 2.0, 4)]
+    assert [tuple(r) for r in df.collect()] == [(0, 3.0, 4)]
     assert _scanned_rows(df) == 4
 
 

@@ -9,6 +9,7 @@ from rows import frame, trip
 
 from curbside.operators.marts import mart_schema
 from curbside.sources import materialise, overwrite_table, read_table, scratch_path
+from curbside.sources.scratch import NoSharedFolderError
 from curbside.sources.sinks import reject_overlap
 
 SCHEMA = mart_schema("top_hours_by_taxi_type")
@@ -128,3 +129,16 @@ def test_materialise_starts_from_the_stored_rows(spark):
 def test_other_formats(spark, tmp_path):
     overwrite_table(spark.range(3).toDF("x"), f"{tmp_path}/t", fmt="orc")
     assert read_table(spark, f"{tmp_path}/t", fmt="orc").count() == 3
+
+
+def test_a_cluster_must_say_which_folder_is_shared(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        applicationId = "x"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(NoSharedFolderError, match="spark.checkpoint.dir"):
+        scratch_path(Session(), "x")
