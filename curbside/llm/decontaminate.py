@@ -3,8 +3,9 @@
 The test items' windows of normalised words are a broadcast hash table; every window of
 every training document is looked up in it by hash and verified word by word in the
 join. One scan does everything: each document also sends one row without a window, so
-documents without hits need no second pass. What is broadcast is bounded: a larger
-benchmark is cut into slices by hash, one scan for each.
+documents without hits need no second pass. What is broadcast is bounded: windows alone, a
+number for each, and a larger benchmark is cut into slices by hash, one scan for each. The
+items of the windows found, of which one window may have many, come by an ordinary join.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import documents, row_key
+from curbside.llm.common import documents, materialise, row_key
+from curbside.llm.folds import fold, let
 
 #: Windows of a broadcast slice, at most.
 SLICE = 1_000_000
@@ -57,8 +59,8 @@ def _keys(n: Column, width: int) -> Column:
 
 
 def item_windows(items: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """key, len, window, items: the distinct windows and the ids of items that have them.
-    An item of fewer words is one window."""
+    """key, len, window, item: the distinct windows of each item. An item of fewer words is
+    one window."""
     base = items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
     words = _with_hashes(base.select("item", normalised("text").alias("words")))
     words = words.filter("n_words > 0").withColumn(
@@ -72,34 +74,29 @@ def item_windows(items: DataFrame, width: int, key: str, text: str) -> DataFrame
         lambda other, n: F.when(F.col("len") == n, _key(F.col("h"), F.col("at"), n)).otherwise(other),
         range(1, width + 1), F.lit(None).cast("bigint"),
     )
-    return (
-        windows.select(
-            "item", "len", hashed.alias("key"),
-            F.slice("words", F.col("at") + 1, F.col("len")).alias("window"),
-        )
-        .groupBy("key", "len", "window").agg(F.collect_set("item").alias("items"))
-    )
+    return windows.select(
+        "item", "len", hashed.alias("key"),
+        F.slice("words", F.col("at") + 1, F.col("len")).alias("window"),
+    ).distinct()
 
 
 def _covered(spans: Column) -> Column:
     """Maximal intervals (start, end) of sorted spans (start, len)."""
-    kind = "array<struct<start:int,end:int>>"
+    kind = "struct<start:int,end:int>"
+    none = F.lit(None).cast(kind)
 
-    def grow(done, span):
-        last = F.get(done, F.size(done) - 1)
+    def step(last, span):
         end = span["start"] + span["len"]
-        joined = F.concat(
-            F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-            F.array(F.struct(
-                last["start"].alias("start"), F.greatest(last["end"], end).alias("end")
-            )),
+        joins = span["start"] <= last["end"]
+        longer = F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], end).alias("end")
         )
-        added = F.concat(
-            done, F.array(F.struct(span["start"].alias("start"), end.alias("end")))
-        )
-        return F.when((F.size(done) > 0) & (span["start"] <= last["end"]), joined).otherwise(added)
+        own = F.struct(span["start"].alias("start"), end.alias("end"))
+        return F.when(joins, longer).otherwise(own), F.when(joins, none).otherwise(last)
 
-    return F.aggregate(spans, F.array().cast(kind), grow)
+    return let(fold(spans, none, kind, step), lambda w: F.array_compact(
+        F.array_append(w["all"], w["carry"])
+    ))
 
 
 def find_contamination(
@@ -121,7 +118,12 @@ def find_contamination(
     does. Items of a null id hit words but are not listed. Rows that repeat id and text
     are all returned; null ids take part like others. Other columns are not looked at.
     """
-    windows = item_windows(items, width, item_key, item_text)
+    of_items = materialise(item_windows(items, width, item_key, item_text), "item_windows")
+    windows = materialise(
+        of_items.select("key", "len", "window").distinct()
+        .withColumn("number", F.monotonically_increasing_id()),
+        "windows",
+    )
     lengths = {n: count for n, count in windows.groupBy("len").count().collect()}
     slices = -(-sum(lengths.values()) // slice_windows) or 1
     base = documents(docs, key, text)
@@ -157,22 +159,30 @@ def find_contamination(
         )
         found.append(
             joined.filter(whole if part else whole | (F.col("at") < 0))
-            .select("doc_id", "row", "n_words", "at", "width", "items")
+            .select("doc_id", "row", "n_words", "at", "width", "number")
         )
     hit = F.col("at") >= 0
+    hits = materialise(reduce(DataFrame.union, found), "hits")
+    rows = hits.groupBy("doc_id", "row").agg(
+        F.max("n_words").alias("n_words"),
+        F.count(F.when(~hit, 1)).alias("copies"),
+        F.sort_array(F.collect_set(
+            F.when(hit, F.struct(F.col("at").alias("start"), F.col("width").alias("len")))
+        )).alias("found"),
+    )
+    # A row's windows, each once, and from there its items.
+    numbers = of_items.join(windows, ["key", "len", "window"]).select("number", "item")
+    listed = (
+        hits.filter(hit).select("doc_id", "row", "number").distinct()
+        .join(numbers, "number").filter("item is not null")
+        .groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    )
+    same = F.col("r.row").eqNullSafe(F.col("l.row")) & F.col("r.doc_id").eqNullSafe(F.col("l.doc_id"))
     return (
-        reduce(DataFrame.union, found)
-        .groupBy("doc_id", "row").agg(
-            F.max("n_words").alias("n_words"),
-            F.count(F.when(~hit, 1)).alias("copies"),
-            F.sort_array(F.collect_set(
-                F.when(hit, F.struct(F.col("at").alias("start"), F.col("width").alias("len")))
-            )).alias("found"),
-            F.collect_set(F.when(hit, F.col("items"))).alias("items"),
-        )
+        rows.alias("r").join(listed.alias("l"), same, "left")
         .select(
-            "doc_id", "row", F.col("n_words").cast("bigint").alias("n_words"), "copies",
-            F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
+            "r.doc_id", "r.row", F.col("n_words").cast("bigint").alias("n_words"), "copies",
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
             _covered(F.col("found")).alias("spans"),
         )
         .select(
@@ -191,24 +201,35 @@ def decontaminate(
     text: str = "text", **how,
 ) -> DataFrame:
     """`docs` without contaminated documents, or (`remove="spans"`) without the hit words
-    and the separators before them. Clean rows come back as they are."""
+    and the separators before them.
+
+    Clean rows come back as they are, null and empty texts and null ids too, and rows as
+    often as they repeat. Other columns stay, whatever their names.
+    """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove}")
     found = find_contamination(docs, items, key=key, text=text, **how).filter("contaminated")
-    found = found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).distinct()
-    own = F.xxhash64(F.col(key).cast("bigint"), F.col(text).cast("string"))
+    found = found.select("row", "spans").distinct()
+    whole = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col(text).cast("string").alias("text"),
+        F.xxhash64(F.col(key).cast("bigint"), F.col(text).cast("string")).alias("row"),
+    )
     if remove == "documents":
-        return docs.join(found, own == F.col("_row"), "left_anti")
-    joined = docs.join(found, own == F.col("_row"), "left")
-    words = F.filter(F.split(F.col(text), _BETWEEN), lambda word: word != "")
-    between = F.split(F.col(text), f"[^{_BETWEEN[1:-2]}]+", -1)
-    kept = joined.withColumns({"_words": words, "_between": between})
-    whole = F.concat_ws("", F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 1),
-        lambda i: F.when(
-            ~F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])),
-            F.concat(F.get("_between", i), F.get("_words", i)),
-        ).otherwise(F.lit("")),
-    ), F.element_at("_between", -1))
-    changed = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(whole)
-    return kept.withColumn(text, changed).select(*docs.columns)
+        return whole.join(found, "row", "left_anti").select("doc.*")
+    cut = whole.join(found, "row", "left").withColumns({
+        "words": F.filter(F.split("text", _BETWEEN), lambda word: word != ""),
+        "between": F.split("text", f"[^{_BETWEEN[1:-2]}]+", -1),
+    })
+    units = F.zip_with("between", "words", lambda before, word: F.concat(before, word))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.size("words")))
+
+    def gap(units: Column, end: Column, i: Column) -> Column:
+        start = F.coalesce(F.get("spans", i - 1)["end"], F.lit(0))
+        return F.array_join(F.slice(units, start + 1, end - start), "")
+
+    gaps = let(units, lambda u: F.transform(ends, lambda end, i: gap(u, end, i)))
+    kept = F.concat(F.array_join(gaps, ""), F.element_at("between", -1))
+    changed = F.when(F.col("spans").isNull(), F.col(f"doc.{text}")).otherwise(kept)
+    return cut.select(*(
+        changed.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns
+    ))

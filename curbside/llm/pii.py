@@ -7,7 +7,9 @@ neither long runs nor the matcher's stack grow out of hand.
 
 All matches of an expression come from one replacement that puts a mark around each,
 and one split at the marks: the odd pieces are the matches, and the pieces' lengths
-give their places in code points.
+give their places in code points. What depends on the match before is folded in short
+stretches (`folds`), and text is cut out of blocks, so many matches in a long text cost
+little more than few.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbside.llm.common import documents, row_key
+from curbside.llm.folds import fold, let, piece, places, text_blocks
 
 #: Score of a confirmed span, and what a word nearby adds.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
@@ -108,11 +111,13 @@ def _parts(kind: str) -> Column:
 
 def _iban_heads() -> Column:
     """Start of each head, and the words from there on that its number can reach into."""
-    parts, at = F.col("iban_parts"), F.col("iban_at")
+    parts = F.col("iban_parts")
     tails = F.regexp_extract_all("text", F.lit(PATTERNS["iban"]), F.lit(1))
-    return F.when(F.size(parts) > 2, F.transform(tails, lambda tail, i: F.struct(
-        F.get(at, 2 * i + 1).alias("start"),
-        F.split(F.concat(F.get(parts, 2 * i + 1), tail), " ").alias("words"),
+    return F.when(F.size(parts) > 2, let(F.col("iban_at"), lambda at: F.transform(
+        tails, lambda tail, i: F.struct(
+            F.get(at, 2 * i + 1).alias("start"),
+            F.split(F.concat(F.get(parts, 2 * i + 1), tail), " ").alias("words"),
+        )
     )))
 
 
@@ -140,23 +145,27 @@ def _ibans() -> Column:
     sized = F.transform("iban_heads", lambda h: F.struct(
         h["start"].alias("start"), (h["start"] + _iban_size(h["words"])).alias("end")
     ))
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.filter(sized, lambda s: s["end"].isNotNull())
+
 
-    def step(done, s):
-        last = F.get(done, F.size(done) - 1)["end"]
-        return F.when(s["start"] < last, done).otherwise(F.array_append(done, s))
+def _apart(sized: Column) -> Column:
+    """Those that begin where the last one taken has ended."""
 
-    return F.aggregate(F.filter(sized, lambda s: s["end"].isNotNull()), none, step)
+    def step(last, s):
+        fits = s["start"] >= last
+        return F.when(fits, s["end"]).otherwise(last), F.when(fits, s)
+
+    return fold(sized, F.lit(0), "struct<start:int,end:int>", step)["all"]
 
 
 def _iban_spans() -> Column:
-    found, text = F.col("iban_found"), F.col("text")
+    found, text = F.col("iban_found"), F.col("iban_blocks")
 
     def span(s, i):
         floor = F.greatest(F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), s["start"] - REACH)
-        limit = F.coalesce(F.get(found, i + 1)["start"], F.length(text))
-        before = F.substring(text, floor + 1, s["start"] - floor)
-        after = F.substring(text, s["end"] + 1, F.least(limit - s["end"], F.lit(REACH)))
+        limit = F.coalesce(F.get(found, i + 1)["start"], F.length("text"))
+        before = piece(text, floor, s["start"])
+        after = piece(text, s["end"], F.least(limit, s["end"] + REACH))
         return _span("iban", s["start"], s["end"], F.concat_ws(" ", before, after))
 
     return F.coalesce(F.transform(found, span), F.array().cast(_SPANS))
@@ -191,15 +200,6 @@ def _spans(kind: str) -> Column:
     return F.when(F.size(parts) > 2, found).otherwise(F.array().cast(_SPANS))
 
 
-def _places(parts: Column) -> Column:
-    """Start of each part in code points."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(parts, empty, lambda done, part: F.struct(
-        (done["at"] + F.length(part)).alias("at"),
-        F.array_append(done["all"], done["at"]).alias("all"),
-    ))["all"]
-
-
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, text, spans (start, end in code points, end exclusive; kind; score),
     sorted by start, then by the order of PATTERNS.
@@ -219,10 +219,14 @@ def with_spans(rows: DataFrame) -> DataFrame:
     for kind in PATTERNS:
         rows = rows.withColumn(f"{kind}_parts", _parts(kind))
     rows = rows.withColumns({
-        f"{kind}_at": F.when(F.size(f"{kind}_parts") > 2, _places(F.col(f"{kind}_parts")))
+        f"{kind}_at": F.when(F.size(f"{kind}_parts") > 2, places(F.col(f"{kind}_parts")))
         for kind in PATTERNS
     })
-    rows = rows.withColumn("iban_heads", _iban_heads()).withColumn("iban_found", _ibans())
+    rows = rows.withColumn("iban_heads", _iban_heads()).withColumn("iban_sized", _ibans())
+    rows = rows.withColumns({
+        "iban_found": F.when(F.size("iban_sized") > 0, _apart(F.col("iban_sized"))),
+        "iban_blocks": F.when(F.size("iban_sized") > 0, text_blocks(F.col("text"))),
+    })
     found = F.sort_array(F.concat(*(_spans(kind) for kind in PATTERNS)))
     return rows.select(*kept, F.transform(found, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
@@ -237,30 +241,50 @@ def listed(spans: Column) -> Column:
     ), ",")
 
 
+def _merged(spans: Column) -> Column:
+    """Maximal stretches of overlapping spans, each of the kind of its first."""
+    kind = "struct<start:int,end:int,kind:string>"
+    none = F.lit(None).cast(kind)
+
+    def step(last, s):
+        inside = s["start"] < last["end"]
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        longer = F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
+            last["kind"].alias("kind"),
+        )
+        return F.when(inside, longer).otherwise(own), F.when(inside, none).otherwise(last)
+
+    whole = F.array(fold(spans, none, kind, step))
+    return F.get(F.transform(
+        whole, lambda w: F.array_compact(F.array_append(w["all"], w["carry"]))
+    ), F.lit(0))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with every span of `text` replaced by its kind in brackets; of overlapping
-    spans by the first one's. Rows without spans, and null texts, stay as they are."""
-    rows = docs.withColumns({"_text": F.col(text), "_row": F.struct(*docs.columns)}).select(
-        F.coalesce(F.col("_text").cast("string"), F.lit("")).alias("text"), "_row"
+    spans by the first one's. Rows without spans, and null texts, stay as they are; so do
+    null ids, repeated rows, and all other columns, whatever their names."""
+    rows = docs.select(
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.struct(*docs.columns).alias("_row"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(done, s):
-        before = F.substring("text", done["at"] + 1, s["start"] - done["at"])
-        cut = F.concat(done["done"], before, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < done["at"]
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(inside, done["done"]).otherwise(cut).alias("done"),
+    found = with_spans(rows).withColumns({
+        "cuts": F.when(F.size("spans") > 0, _merged(F.col("spans"))),
+        "blocks": F.when(F.size("spans") > 0, text_blocks(F.col("text"))),
+    })
+
+    def part(cut, i):
+        before = F.coalesce(F.get("cuts", i - 1)["end"], F.lit(0))
+        return F.concat(
+            piece(F.col("blocks"), before, cut["start"]), F.lit("["), F.upper(cut["kind"]), F.lit("]")
         )
 
-    found = with_spans(rows)
-    whole = found.withColumn("_cut", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)))
-    rest = F.substring(F.col("text"), F.col("_cut.at") + 1, F.length("text"))
-    new = F.when(F.col("_cut").isNull(), F.col(f"_row.{text}")).otherwise(
-        F.concat(F.col("_cut.done"), rest)
+    rest = piece(F.col("blocks"), F.element_at("cuts", -1)["end"], F.length("text"))
+    new = F.when(F.col("cuts").isNull(), F.col(f"_row.{text}")).otherwise(
+        F.concat(F.array_join(F.transform("cuts", part), ""), rest)
     )
-    return whole.select(*(
+    return found.select(*(
         new.alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns
     ))
 

@@ -149,7 +149,46 @@ QUERIES = {query.__name__: query for query in _QUERIES} | {"pipeline": corpus_pi
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_NORMAL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE_SQL = {
+    "op4_decontaminate": f"""
+        WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_NORMAL} AS w FROM benchmark),
+        sized AS (SELECT item, w, least(len(w), 10) AS k FROM items WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS key
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM sized)),
+        lengths AS (SELECT DISTINCT k FROM windows),
+        docs AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
+        looked AS (
+            SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS key
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM docs, lengths
+                  WHERE len(w) >= k)),
+        hits AS (SELECT doc_id, p, k, item FROM looked JOIN windows USING (k, key)),
+        places AS (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS p FROM hits),
+        counts AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+        found AS (
+            SELECT doc_id, list_sort(list(DISTINCT item)) AS ids FROM hits
+            WHERE item IS NOT NULL GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+               sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+    "op6_warc": """
+        WITH payloads AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+            FROM pages)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit'
+                    ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM payloads
+    """,
     "op9_passages": f"""
         WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         windows AS (
