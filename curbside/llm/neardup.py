@@ -7,7 +7,8 @@ similarity 0.8 share no table with a probability of about 1e-5.
 
 The work stays near linear in copies:
 
-* Equal sets are one class, represented by its smallest id.
+* Equal sets are one class, represented by one text of its smallest id. Classes are numbered in
+  the order of those ids, so the smallest number of a component has its smallest id.
 * Half keys that one class alone has can't be part of a shared pair and go first, so
   pairs are only formed for classes that may have a partner.
 * In a table's group only links to the group's smallest member are tested, never all
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbside.llm import textblocks as tb
-from curbside.llm.common import documents, materialise
+from curbside.llm.common import documents, materialise, row_key
 
-_SKETCH = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, half array<bigint>"
+_SKETCH = "doc_id bigint, row bigint, n bigint, fp1 bigint, fp2 bigint, half array<bigint>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,7 @@ def _sketch(width: int, tables: int):
             keys = pa.array(half[some].view(np.int64).reshape(-1))
             yield pa.record_batch({
                 "doc_id": block.column("doc_id"),
+                "row": block.column("row"),
                 "n": pa.array(n),
                 "fp1": pa.array(fps[0].view(np.int64)),
                 "fp2": pa.array(fps[1].view(np.int64)),
@@ -204,18 +206,17 @@ def near_duplicates(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept.
+    """Per row: doc_id, n_shingles, component_id, kept, row (a hash of id and text).
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a set is the distinct
     shingles of `width` words, or the whole sequence of a shorter text. Documents are
     linked if 100 * intersection >= percent * union. component_id is the smallest id
     reachable; kept marks the document that has it. Null, empty and blank texts have
-    empty sets and are linked with nothing. Rows that repeat an id with
-    another text are one document; near copies are sought of the text of the smallest
-    hash among them, equal ones of all. Rows with a null id are linked with
+    empty sets and are linked with nothing. Rows that repeat an id are one document: what
+    any of their texts is linked with, all of them are. Rows with a null id are linked with
     nothing, have a null component_id and are kept. Other columns are not looked at.
     """
-    base = documents(docs, key, text)
+    base = documents(docs, key, text).withColumn("row", row_key())
     sketches = materialise(
         base.filter(F.col("doc_id").isNotNull()).mapInArrow(_sketch(width, tables), _SKETCH),
         "sketches",
@@ -223,15 +224,23 @@ def near_duplicates(
     some = sketches.filter("n > 0")
     same = ["fp1", "fp2", "n"]
     # A table of its own, so that both sides of the join are plain shuffles: adaptive
-    # execution then splits a class that holds a large part of the rows.
-    firsts = materialise(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), "firsts")
+    # execution then splits a class that holds a large part of the rows. `rep` is the class.
+    firsts = materialise(
+        some.groupBy(*same)
+        .agg(F.min("doc_id").alias("first"), F.min_by("row", "doc_id").alias("first_row"))
+        .orderBy("first", *same).withColumn("rep", F.monotonically_increasing_id()),
+        "firsts",
+    )
     classes = materialise(
-        some.join(firsts, same).select("doc_id", "n", "rep", "half"), "classes"
+        some.join(firsts, same).select("doc_id", "row", "n", "rep", "half", "first", "first_row"),
+        "classes",
     )
-    reps = classes.filter("doc_id = rep")
+    reps = classes.filter("doc_id = first and row = first_row")
     # Ids that several texts share tie the texts' classes together.
-    twice = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    ties = twice.filter("a < b").select("a", "b")
+    twice = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"))
+    ties = classes.join(twice.filter("a < last"), "doc_id").filter("rep > a").select(
+        "a", F.col("rep").alias("b")
+    ).distinct()
 
     halves = reps.select("rep", F.posexplode("half").alias("slot", "key"))
     shared = _shared(halves).groupBy("rep").agg(
@@ -242,10 +251,11 @@ def near_duplicates(
         "a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))
     ))).alias("key")).distinct()
     buckets = materialise(_shared(tensored), "buckets")
-    members = buckets.select("rep").distinct()
+    members = buckets.select("rep").distinct().join(firsts, "rep").select(
+        "rep", F.col("first").alias("doc_id"), F.col("first_row").alias("row")
+    )
     texts = materialise(
-        base.withColumnRenamed("doc_id", "rep").filter("text is not null")
-        .join(members, "rep", "left_semi")
+        base.filter("text is not null").join(members, ["doc_id", "row"])
         .groupBy("rep").agg(F.min_by("text", F.xxhash64("text")).alias("text")),
         "texts",
     )
@@ -267,16 +277,20 @@ def near_duplicates(
     found = materialise(_confirmed(rest, texts, width, percent).union(links), "links")
     roots = components(found, "components")
 
-    known = classes.select("doc_id", "n", "rep").join(
-        roots.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
+    lowest = firsts.select(F.col("rep").alias("root"), F.col("first").alias("component_id"))
+    known = (
+        classes.select("doc_id", "row", "n", "rep")
+        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("doc_id", "row", "n", F.coalesce("root", "rep").alias("root"))
+        .join(lowest, "root").select("doc_id", "row", "n", "component_id")
+    )
     empty = sketches.filter("n = 0").select(
-        "doc_id", "n", F.col("doc_id").alias("component_id")
+        "doc_id", "row", "n", F.col("doc_id").alias("component_id")
     )
     lost = base.filter(F.col("doc_id").isNull()).mapInArrow(_sketch(width, 1), _SKETCH).select(
-        "doc_id", "n", F.lit(None).cast("bigint").alias("component_id")
+        "doc_id", "row", "n", F.lit(None).cast("bigint").alias("component_id")
     )
     return known.union(empty).union(lost).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row",
     )

@@ -146,8 +146,8 @@ def cutoff(scored: DataFrame, limit: int) -> float:
     """The log weight that parts the labelled documents best: the share of
     others below, less LOSS times that of targets below, is largest. Without both
     kinds, nothing is cut."""
-    labelled = scored.filter("label is not null").select("log_weight", "label").limit(limit)
-    sample = labelled.toPandas()  # at most `limit` rows
+    labelled = scored.filter("label is not null").orderBy(F.xxhash64("row"), "row").limit(limit)
+    sample = labelled.select("log_weight", "label").toPandas()  # at most `limit` rows
     weight = sample["log_weight"].to_numpy()
     good = sample["label"].to_numpy() == 1
     if not good.any() or good.all():
@@ -200,12 +200,14 @@ def importance_resample(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Per row: doc_id, n_grams, log_weight (0 at most), gumbel_key, kept.
+    """Per row: doc_id, n_grams, log_weight (0 at most), gumbel_key, kept, row (a hash of id
+    and text).
 
     `kept` marks the k rows of the largest keys log_weight / temperature + Gumbel noise
     (noise by hash of `seed`, id and text). Without `k`, k is the number of documents whose
     log weight is above the cutoff that parts the labelled documents best. All documents
-    are counted and scored; labels of `labelled` documents at most are used. Null and
+    are counted and scored; labels of `labelled` documents at most are used (and of twice as
+    many rows, those of the smallest hashes, if ids repeat). Null and
     empty texts have no n-grams and weight 1 (log 0). Rows repeating id and text have
     equal keys and are kept or dropped together (a tie at the k-th place is kept).
     Without labelled targets every weight is 1 and, without `k`, everything is kept.
@@ -242,4 +244,6 @@ def importance_resample(
     else:
         at, row = _rank_threshold(keyed.select("key", "row"), k)
         kept = (F.col("key") > at) | ((F.col("key") == at) & (F.col("row") >= row))
-    return keyed.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))
+    return keyed.select(
+        "doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"), "row"
+    )

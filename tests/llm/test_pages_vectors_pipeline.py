@@ -290,6 +290,19 @@ def test_pipeline(spark, sf_small, table):
     assert ran == pieces
 
 
+def test_one_bad_row_of_an_id(spark):
+    """Verdicts are on rows: the other texts of the id stay, a null id's rows all do."""
+    rows = [(1, "bad"), (1, "good"), (2, "bad"), (None, "bad"), (3, None), (1, "bad")]
+    docs = documents(spark, rows)
+    key = F.xxhash64("doc_id", "text").alias("row")
+    verdicts = docs.select("doc_id", key, (F.col("doc_id").eqNullSafe(1) & (F.col("text") == "bad") | F.col(
+        "doc_id").isNull()).alias("gone")).selectExpr("doc_id", "row", "not coalesce(gone, false) as kept")
+    left = corpus_pipeline._kept(docs, verdicts)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(
+        [(1, "good"), (2, "bad"), (None, "bad"), (3, None)], key=repr)
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, odd_documents, no_documents, table, tmp_path):
     root = f"file://{tmp_path}"
     for name in ("labels", "benchmark"):
