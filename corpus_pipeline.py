@@ -27,36 +27,46 @@ def vocabulary(name: str) -> str:
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id has a row in `verdicts` that is kept. Rows with a
-    null id have no verdict and stay."""
-    lost = verdicts.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    """The rows of `docs` whose id and text have a verdict that keeps them. Of the rows of
+    one id each has its own verdict. Rows with a null id stay."""
+    lost = verdicts.filter("not kept and doc_id is not null").select(F.col("row").alias("lost"))
+    own = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    own = docs.select(F.struct(*docs.columns).alias("doc"), own.alias("own"))
+    return own.join(lost.distinct(), F.col("own") == F.col("lost"), "left_anti").select("doc.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts stay, and so
+    do null ids; equal rows go or stay together; other columns stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _kept(docs, importance_resample(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Shingles of five words, similarity 0.8."""
-    return _kept(docs, near_duplicates(docs, width=5)).dropDuplicates(["doc_id", "text"])
+    """One document of each group stays. Shingles of five words, similarity 0.8. Null, empty
+    and blank texts are no one's copies. Rows that repeat id and text are one; rows of one id
+    with other texts are one document and stay or go together. Rows of a null id all stay."""
+    kept = _kept(docs, near_duplicates(docs, width=5))
+    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(kept.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of benchmark items go."""
+    """Documents that hold windows of benchmark items go. Null and empty texts, and all rows
+    if the benchmark is empty, stay; equal rows go or stay together."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind; n_chars follows the text. A null text stays
+    null, with a null n_chars. Every row stays."""
     cut = redact(docs)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the document's pieces, with merge dropout."""
+    """doc_id and the document's pieces, with merge dropout. Null and empty texts have none;
+    every row has one, null ids and repeated ones too."""
     pieces = encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
     return pieces.select("doc_id", "pieces", F.size("pieces").cast("bigint").alias("n_pieces"))
 
