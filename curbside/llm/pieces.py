@@ -2,10 +2,10 @@
 
 A word's merges are taken from an agenda, best score first. With dropout, each candidate
 that comes up is skipped if a keyed hash says so, which gives other segmentations of the
-same words; every one decodes to the same text. The key is the seed, the word, and one
-of `variants` numbers drawn for each place of a word (by a hash of the seed, the
-document and the place). So a result depends on seed and document alone, not on
-partitioning or retries, and a worker computes a word's variant once.
+same words; every one decodes to the same text. The key is the seed, the document, and the
+place of the word in it: every occurrence of every word draws for itself. So a result depends
+on seed and document alone, not on partitioning or retries. Draws that skip the same
+candidates of a word give the same pieces, which a worker computes once.
 
 Words are segmented together: the agenda runs on a matrix of all words of one length.
 """
@@ -46,7 +46,7 @@ class Pieces:
 
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.bytes = np.zeros(256, dtype=np.int64)
+        self.bytes = np.full(256, -1, dtype=np.int64)
         self.ids: dict[str, int] = {}
         texts, scores = [], {}
         for i in range(size):
@@ -64,6 +64,8 @@ class Pieces:
         self.text = np.frombuffer(b"".join(texts), dtype=np.uint8)
         if not encodes:
             return
+        if (self.bytes < 0).any():
+            raise ValueError("this model has no byte pieces: not every text can be encoded")
         if any(_BLANK in p.lstrip(_BLANK) for p in self.ids):
             raise ValueError("pieces of this model cross words")
         # Neighbours that no piece holds together are never merged, nor is what lies
@@ -272,6 +274,10 @@ def _skips(keys: np.ndarray, drop: float) -> np.ndarray:
     return out
 
 
+def _low_bits(n: np.ndarray) -> np.ndarray:
+    return (1 << np.minimum(n, 32)) - 1
+
+
 def _more_skips(keys: np.ndarray, drop: float):
     """For rows of `keys`, the bits of their candidates from 32 * k on, k > 0."""
     def more(rows: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -281,7 +287,7 @@ def _more_skips(keys: np.ndarray, drop: float):
 
 
 def encode_block(
-    model: Pieces, texts: pa.Array, rows: np.ndarray, seed: int, drop: float, variants: int
+    model: Pieces, texts: pa.Array, rows: np.ndarray, seed: int, drop: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and the limits of each text in them."""
     data, limits = tb.text_bytes(texts)
@@ -328,35 +334,48 @@ def encode_block(
     memo.add(kinds[new], *run(sample[new], np.zeros(len(new), dtype=np.int64)))
     places = memo.places(kinds)
     if drop > 0:
-        seen = memo.extra[places]
+        seen = memo.extra[places][kind]
         place = np.arange(len(start)) - np.repeat(first[:-1], n)
         draw = tb.mix(np.repeat(rows.view(np.uint64), n) + np.uint64(seed & 0xFFFFFFFF))
         draw = tb.mix(draw + place.astype(np.uint64))
-        long = char_at[end] - char_at[start] > _MATRIX
-        draw = np.where(long, draw, draw % np.uint64(variants))
-        keys = tb.mix(hashes + tb.mix(draw + np.uint64((seed << 20) & 0xFFFFFFFFFFFFFFFF)))
-        keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        # The rate is part of the key: a worker remembers what it made with others.
+        own = ((seed << 20) + round(drop * 256)) & 0xFFFFFFFFFFFFFFFF
+        keys = tb.mix(hashes + tb.mix(draw + np.uint64(own)))
         skips = _skips(keys, drop)
-        own = kind[at]  # the word of each key
-        hit = skips & ((1 << np.minimum(seen[own], 32)) - 1) != 0
-        other = np.flatnonzero(hit | (seen[own] > 32))
-        new = other[memo.missing(keys[other])]
-        memo.add(keys[new], *run(at[new], skips[new], _more_skips(keys[new], drop)))
-        target = kinds[own]
-        target[other] = keys[other]
+        target = kinds[kind]
+        # Without a skip among the candidates that come up, a word is segmented as usual.
+        hit = (skips & _low_bits(seen) != 0) | (seen > 32)
+        # Most skips bring few more candidates up: the first bits tell the result, and the
+        # same bits of the same word are computed once.
+        some = np.flatnonzero(hit & (seen <= 15))
+        bits = 2 * seen[some] + 2
+        low = skips[some] & _low_bits(bits)
+        by_bits = tb.mix(hashes[some] ^ tb.mix(low.astype(np.uint64) + np.uint64(0x5BD1E995)))
+        known, at, which = np.unique(by_bits, return_index=True, return_inverse=True)
+        new = memo.missing(known)
+        memo.add(known[new], *run(some[at[new]], low[at[new]]))
+        told = memo.extra[memo.places(known)][which] <= bits
+        target[some[told]] = by_bits[told]
+        hit[some[told]] = False
+        # All others are computed for each occurrence.
+        rest = np.flatnonzero(hit)
+        own, at = np.unique(keys[rest], return_index=True)
+        new = memo.missing(own)
+        at = rest[at[new]]
+        memo.add(own[new], *run(at, skips[at], _more_skips(own[new], drop)))
+        target[rest] = keys[rest]
         kinds, kind = np.unique(target, return_inverse=True)
-        kind = kind[which]
         places = memo.places(kinds)
     ids, lengths = memo.gather(places[kind])
     return ids, np.append(0, np.cumsum(lengths))[first]
 
 
-def _encode(path: str, seed: int, drop: float, variants: int):
+def _encode(path: str, seed: int, drop: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(path)
         for block in tb.blocks(batches):
             rows = block.column("row").to_numpy(zero_copy_only=False)
-            ids, limits = encode_block(model, block.column("text"), rows, seed, drop, variants)
+            ids, limits = encode_block(model, block.column("text"), rows, seed, drop)
             pieces = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids))
             yield pa.record_batch({
                 **{c: block.column(c) for c in block.schema.names if c not in ("text", "row")},
@@ -371,7 +390,6 @@ def encode_pieces(
     model: str,
     seed: int = 17,
     drop: float = 0.1,
-    variants: int = 16,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -385,7 +403,7 @@ def encode_pieces(
     """
     rows = documents(docs, key, text).select("doc_id", row_key().alias("row"), "text")
     return rows.mapInArrow(
-        _encode(model, seed, drop, variants), "doc_id bigint, pieces array<int>"
+        _encode(model, seed, drop), "doc_id bigint, pieces array<int>"
     )
 
 

@@ -501,7 +501,7 @@ def models(vocabulary):
 
 def pieces_of(model, texts, drop, seed=17):
     ids, limits = sp.encode_block(
-        model, pa.array(texts, pa.string()), np.arange(len(texts), dtype=np.int64), seed, drop, 16
+        model, pa.array(texts, pa.string()), np.arange(len(texts), dtype=np.int64), seed, drop
     )
     return ids, limits
 
@@ -554,6 +554,53 @@ def test_dropout_varies_words_and_follows_the_seed(models):
     assert np.array_equal(ids, pieces_of(model, texts, 0.3)[0])
 
 
+def each_occurrence_alone(model, texts, drop, seed=17):
+    """The same without any memory: every word of every place is segmented for itself."""
+    out = []
+    for row, text in enumerate(texts):
+        data = text.encode()
+        cuts = [i for i in range(1, len(data)) if model.cuts[data[i - 1], data[i]]]
+        limits = [0, *cuts, len(data)] if data else []
+        ids = []
+        for place, (a, b) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
+            word = np.frombuffer(data, dtype=np.uint8)[a:b]
+            key = tb.run_hashes(word, np.array([0]), np.array([b - a]))
+            if place == 0:
+                key = tb.mix(key + np.uint64(1))
+            draw = tb.mix(np.array([row], dtype=np.uint64) + np.uint64(seed))
+            draw = tb.mix(draw + np.uint64(place))
+            key = tb.mix(key + tb.mix(draw + np.uint64((seed << 20) + round(drop * 256))))
+            more = sp._more_skips(key, drop)
+            found, _ = model.heap(
+                model.symbols((" " if place == 0 else "") + data[a:b].decode()),
+                int(sp._skips(key, drop)[0]),
+                lambda k, more=more: int(more(np.array([0]), np.array([k]))[0]),
+            )
+            ids += found
+        out.append(ids)
+    return out
+
+
+@pytest.mark.parametrize("drop", [0.05, 0.1, 0.5, 0.9])
+def test_dropout_is_drawn_for_each_occurrence(models, drop):
+    model, _ = models
+    texts = ["the cat, the internationalization of 1,000 things 日本 über" * 8, "the " * 400,
+             " the", "internationalization " * 60, "x" * 90 + " y", "", "supercalifragilistic" * 9]
+    ids, limits = pieces_of(model, texts, drop)
+    mine = [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+    assert mine == each_occurrence_alone(model, texts, drop)
+
+
+def test_a_short_word_has_many_segmentations(models):
+    model, _ = models
+    texts = ["a international"] * 10_000
+    ids, limits = pieces_of(model, texts, 0.1)
+    kinds = collections.Counter(tuple(ids[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True))
+    assert len(kinds) > 40
+    usual = kinds[tuple(pieces_of(model, texts[:1], 0)[0])] / 10_000
+    assert 0.3 < usual < 0.7  # about 0.9 to the power of its candidates
+
+
 def test_dropout_of_long_words_is_drawn_per_candidate(models):
     """Each occurrence of a long unspaced word has skips of its own, at the stated rate."""
     model, _ = models
