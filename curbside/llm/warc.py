@@ -3,7 +3,9 @@
 A package is a ZIP with stored members: `archive/data.warc.gz` (one gzip member per
 record) and `indexes/index.cdxj` (sorted by URL key, with each record's place). Nothing
 is extracted: the reader gets the directory from the end of the file (ZIP64 included),
-the index by one range, and records by their own ranges.
+the indexes by ranges, a piece at a time, and records by their own ranges. It also reads
+packages that other writers made: several archives, several indexes, plain, gzipped or
+deflated; side files of any kind are passed over.
 
 Files are named by task attempt and listed in a table that Spark commits, so a lost
 task leaves files that no one reads. Tasks reach any store that Arrow's file systems do.
@@ -20,6 +22,8 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -31,6 +35,8 @@ from curbside.llm.common import materialise
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST = 1000
+#: Bytes of an index read at a time, and entries handed on.
+_PIECE, _INDEXED = 1 << 20, 50_000
 #: Compressed bytes of records in a package, about.
 PACKAGE = 64 << 20
 
@@ -50,9 +56,12 @@ def _record_id(page: int | None) -> str:
 
 
 def _page(record_id: str) -> int | None:
-    if record_id == _NO_ID:
+    """Null for ids that other writers gave."""
+    if record_id == _NO_ID or not record_id.startswith("urn:uuid:"):
         return None
     value = uuid.UUID(record_id).int
+    if value >> 64:
+        return None
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -81,24 +90,30 @@ def record(page: int | None, url: str, payload: bytes, sha1: bytes, refers: int
 def parse(data: bytes) -> dict:
     """What a record says of its page, from its own headers and payload."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(
-        next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length:"))
-        .split(":")[1]
-    )
-    kind = fields["WARC-Type"]
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
-    if kind == "response" and (len(payload) != length or hashlib.sha1(payload).digest() != digest):
-        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    refers = fields.get("WARC-Refers-To")
+    fields = dict(line.split(":", 1) for line in head.decode().split("\r\n")[1:])
+    fields = {name.lower(): value.removeprefix(" ") for name, value in fields.items()}
+    block = rest[: int(fields["content-length"])]
+    kind, length, payload = fields["warc-type"], None, block
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        for line in http.decode("latin-1").lower().split("\r\n"):
+            if line.startswith("content-length:"):
+                length = int(line.split(":")[1])
+    said = fields.get("warc-payload-digest", "")
+    known = said.startswith("sha1:") and len(said) == 37
+    digest = base64.b32decode(said[5:].upper()) if known else None
+    if kind != "revisit":
+        real = hashlib.sha1(payload).digest()
+        if digest not in (None, real) or length not in (None, len(payload)):
+            raise ValueError(f"damaged record {fields['warc-record-id']}")
+        digest, length = real, len(payload)
+    refers = fields.get("warc-refers-to")
     return {
-        "page_id": _page(fields["WARC-Record-ID"][1:-1]),
-        "url": fields["WARC-Target-URI"],
-        "payload": payload if kind == "response" else None,
+        "page_id": _page(fields["warc-record-id"][1:-1]),
+        "url": fields.get("warc-target-uri"),
+        "payload": None if kind == "revisit" else payload,
         "payload_bytes": length,
-        "payload_digest": digest.hex(),
+        "payload_digest": digest.hex() if digest else None,
         "record_type": kind,
         "refers_to": _page(refers[1:-1]) if refers else None,
     }
@@ -175,8 +190,23 @@ def _write(folder: str, size: int):
     return run
 
 
+@dataclass(frozen=True)
+class Member:
+    """Where a member's bytes are, and how they are packed (0: stored, 8: deflated)."""
+
+    start: int
+    size: int
+    method: int
+
+
 def directory(stream: pa.NativeFile) -> dict[str, tuple[int, int]]:
     """Start and size of each stored member, from the central directory."""
+    found = members(stream).items()
+    return {name: (m.start, m.size) for name, m in found if m.method == 0}
+
+
+def members(stream: pa.NativeFile) -> dict[str, Member]:
+    """All members, from the central directory."""
     size = stream.size()
     tail_at = max(0, size - 65557)
     tail = stream.read_at(size - tail_at, tail_at)
@@ -208,10 +238,9 @@ def directory(stream: pa.NativeFile) -> dict[str, tuple[int, int]]:
                 packed = wide.pop(0) if packed == 0xFFFFFFFF else packed
                 header = wide.pop(0) if header == 0xFFFFFFFF else header
             extra = extra[4 + n :]
-        if method != 0:
-            raise ValueError(f"{name} is not stored")
         local = stream.read_at(30, header)
-        out[name] = header + 30 + sum(struct.unpack_from("<HH", local, 26)), packed
+        start_at = header + 30 + sum(struct.unpack_from("<HH", local, 26))
+        out[name] = Member(start_at, packed, method)
         at += 46 + name_size + extra_size + note_size
     return out
 
@@ -221,25 +250,84 @@ def _open(path: str) -> pa.NativeFile:
     return files.open_input_file(place)
 
 
+def _chunks(stream: pa.NativeFile, name: str, member: Member) -> Iterator[bytes]:
+    """A member's content in pieces: inflated if it is deflated, and if it is a gzip file."""
+    if member.method not in (0, 8):
+        raise ValueError(f"{name} is packed in a way that is not read")
+    whole = (
+        stream.read_at(min(_PIECE, member.size - at), member.start + at)
+        for at in range(0, member.size, _PIECE)
+    )
+    if member.method == 8:
+        whole = _inflated(whole, -15)
+    return _inflated(whole, 31) if name.endswith(".gz") else whole
+
+
+def _inflated(pieces: Iterator[bytes], window: int) -> Iterator[bytes]:
+    """One stream after the other, as a gzip file may have many; a piece at a time."""
+    unpack, begun = zlib.decompressobj(window), False
+    for piece in pieces:
+        while piece:
+            begun = True
+            yield unpack.decompress(piece, _PIECE)
+            piece = unpack.unconsumed_tail
+            if unpack.eof:
+                piece, begun = unpack.unused_data, False
+                unpack = zlib.decompressobj(window)
+                if window < 0:
+                    return
+    if begun:
+        yield unpack.flush()
+
+
+def _lines(pieces: Iterator[bytes]) -> Iterator[str]:
+    rest = b""
+    for piece in pieces:
+        *whole, rest = (rest + piece).split(b"\n")
+        yield from (line.decode() for line in whole)
+    if rest:
+        yield rest.decode()
+
+
+_INDEXES = (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
+
+
+def _places(path: str) -> Iterator[tuple[str, int, int]]:
+    """URL key, start and length of each record that a package's indexes list."""
+    with _open(path) as stream:
+        found = members(stream)
+        data = {name: m for name, m in found.items() if name.startswith("archive/")}
+        for name, member in found.items():
+            if not (name.startswith("indexes/") and name.endswith(_INDEXES)):
+                continue
+            for line in _lines(_chunks(stream, name, member)):
+                if not line.strip() or line.startswith(("!", " ")):
+                    continue  # a remark on the index itself
+                key, _, place = line.rstrip("\r").split(" ", 2)
+                place = json.loads(place)
+                file = place.get("filename")
+                if file is None and len(data) == 1:
+                    (file,) = data
+                home = data.get(f"archive/{file}", data.get(file))
+                if home is None:
+                    raise ValueError(f"{path} has no archive {file}")
+                if home.method != 0:
+                    raise ValueError(f"{path}: {file} is not stored, so its records have no ranges")
+                yield key, home.start + int(place["offset"]), int(place["length"])
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column("path").to_pylist():
-            with _open(path) as stream:
-                members = directory(stream)
-                base, _ = members[_DATA]
-                start, size = members[_INDEX]
-                lines = stream.read_at(size, start).decode().split("\n")[:-1]
-            keys, places = [], []
-            for line in lines:
-                key, _, place = line.split(" ", 2)
-                keys.append(key)
-                places.append(json.loads(place))
-            yield pa.record_batch({
-                "path": pa.array([path] * len(keys), pa.string()),
-                "url_key": pa.array(keys, pa.string()),
-                "offset": pa.array([base + p["offset"] for p in places], pa.int64()),
-                "length": pa.array([p["length"] for p in places], pa.int64()),
-            })
+            places = _places(path)
+            while some := list(islice(places, _INDEXED)):
+                keys, starts, lengths = zip(*some, strict=True)
+                yield pa.record_batch({
+                    "path": pa.array([path] * len(keys), pa.string()),
+                    "url_key": pa.array(keys, pa.string()),
+                    "offset": pa.array(starts, pa.int64()),
+                    "length": pa.array(lengths, pa.int64()),
+                })
 
 
 _RECORD = pa.schema([
@@ -305,7 +393,8 @@ def write_archives(
 
 
 def read_index(packages: DataFrame) -> DataFrame:
-    """path, url_key, offset, length of every record in the packages (path)."""
+    """path, url_key, offset, length of every record that the indexes of the packages (path)
+    list. An archive that an index names must be stored in the package."""
     return packages.select("path").mapInArrow(
         _entries, "path string, url_key string, offset bigint, length bigint"
     )

@@ -130,6 +130,69 @@ def test_damage_is_found():
     assert base64.b32encode(hashlib.sha1(payload).digest()) in data
 
 
+def _foreign(path, deflated=False, index="indexes/index.cdx.gz", filename=True):
+    """A package as others write it: deflated side files, two archives, random record ids."""
+    import gzip
+    import json
+    import uuid
+    import zipfile
+
+    archives, lines, want = {"a.warc.gz": b"", "b.warc.gz": b""}, [], {}
+    for i in range(300):
+        name = "a.warc.gz" if i % 3 or not filename else "b.warc.gz"
+        body = f"<p>page {i}</p>".encode() * (i % 40)
+        http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+        head = (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{uuid.uuid4().urn}>\r\n"
+                f"WARC-Target-URI: http://e.org/{i}\r\nContent-Type: application/http;msgtype=response\r\n"
+                f"Content-Length: {len(http)}\r\n\r\n").encode()
+        packed = gzip.compress(head + http + b"\r\n\r\n")
+        place = {"offset": str(len(archives[name])), "length": str(len(packed)), "mime": "text/html"}
+        if filename:
+            place["filename"] = name
+        lines.append(f"org,e)/{i} 20240101000000 {json.dumps(place)}\n")
+        archives[name] += packed
+        want[f"http://e.org/{i}"] = body
+    text = "".join(sorted(lines)).encode()
+    half = len(text) // 2
+    if index.endswith(".gz"):  # two gzip streams in one file
+        text = gzip.compress(b"!meta 0 {}\n" + text[:half]) + gzip.compress(text[half:])
+    with zipfile.ZipFile(path, "w") as package:
+        package.writestr("datapackage.json", "{}" * 500, zipfile.ZIP_DEFLATED)
+        package.writestr("pages/pages.jsonl", "{}\n" * 500, zipfile.ZIP_DEFLATED)
+        package.writestr(index, text, zipfile.ZIP_STORED if index.endswith(".gz") else zipfile.ZIP_DEFLATED)
+        for name, data in archives.items():
+            if data:
+                package.writestr(f"archive/{name}", data,
+                                 zipfile.ZIP_DEFLATED if deflated else zipfile.ZIP_STORED)
+    return want
+
+
+@pytest.mark.parametrize(("index", "filename"), [
+    ("indexes/index.cdx.gz", True), ("indexes/index.cdxj", True), ("indexes/own.cdxj", False)])
+def test_packages_of_other_writers(spark, tmp_path, monkeypatch, index, filename):
+    want = _foreign(tmp_path / "x.wacz", index=index, filename=filename)
+    packages = spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string")
+    rows = warc.read_records(warc.read_index(packages)).collect()
+    assert {r.url: bytes(r.payload) for r in rows} == want and len(rows) == 300
+    assert all(r.page_id is None and r.record_type == "response" for r in rows)
+    assert all(r.payload_digest == hashlib.sha1(r.payload).hexdigest() for r in rows)
+    one = warc.read_index(packages).filter("url_key = 'org,e)/77'")
+    assert [r.url for r in warc.read_records(one).collect()] == ["http://e.org/77"]
+
+
+def test_an_index_is_read_a_piece_at_a_time(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "_PIECE", 100)
+    for index in ("indexes/index.cdx.gz", "indexes/index.cdxj"):
+        _foreign(tmp_path / "x.wacz", index=index)
+        assert len(set(warc._places(f"file://{tmp_path}/x.wacz"))) == 300
+
+
+def test_archives_that_are_not_stored(tmp_path):
+    _foreign(tmp_path / "x.wacz", deflated=True)
+    with pytest.raises(ValueError, match="not stored"):
+        list(warc._places(f"file://{tmp_path}/x.wacz"))
+
+
 # ------------------------------------------------------------------ neighbours
 
 
