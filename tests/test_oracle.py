@@ -1,5 +1,9 @@
 """Every registered query against its SQL in DuckDB."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from compare import duck, duck_result, spark_result
 
@@ -51,3 +55,16 @@ def test_session_zone_does_not_matter(spark, con, sf_check, conf, name):
     conf("spark.sql.session.timeZone", "America/New_York")
     df = QUERIES[name](spark, sf_check)
     assert spark_result(df) == duck_result(con, ORACLES[name])
+
+
+@pytest.mark.parametrize("gone", ["curbside.llm", "corpus_pipeline"])
+def test_the_rest_stands_alone(gone):
+    """A part that cannot be imported takes its own queries along, no others."""
+    code = (
+        f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; "
+        "print(sorted(e.queries()) == sorted(q.__name__ for q in e._QUERIES), "
+        "set(e.oracle_sql()) <= set(e.queries()))"
+    )
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.stdout.split() == ["True", "True"], done.stderr
