@@ -1,7 +1,8 @@
 """Removal of passages that an earlier document already has.
 
-Every window of `width` words gets a Rabin-Karp hash, and Spark finds each hash's
-smallest document. What crosses the network are packed columns, not a row per window:
+Every window of `width` words gets a Rabin-Karp hash. Spark deals the hashes out by range,
+and a range's task finds each hash's smallest document. What crosses the network are packed
+columns, not a row per window, so the counting itself is numpy's, inside a range:
 
 1. A task hashes the windows of its documents in chunks. Inside a chunk, windows that
    an earlier document of the chunk has are decided at once, so a passage sends one
@@ -290,7 +291,7 @@ def remove_repeated_passages(
     hashed = (
         rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .mapInArrow(_hash_windows(width, n, n, chunk), _PARTS)
-        .repartition(n, "bucket")
+        .repartitionById(n, "bucket")  # a range each: a hash of n numbers would double some
         .sortWithinPartitions("bucket")
     )
     answers = hashed.mapInArrow(_find_repeats(n), _PARTS).select(
@@ -304,7 +305,7 @@ def remove_repeated_passages(
     )
     return (
         answers.union(texts)
-        .repartition(n, "grp")
+        .repartitionById(n, "grp")
         .sortWithinPartitions("grp", "is_text")
         .mapInArrow(_remove(width), _RESULT)
     )
